@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oresieve.llm import tokenizing, unparsable
+from oresieve.llm import secrets, tokenizing, unparsable
 from oresieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,16 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizing.encoded(table(spark, sf, "documents"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.found_secrets(table(spark, sf, "components"))
+
+
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.redacted(table(spark, sf, "components"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p4_found, p4_redacted, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
