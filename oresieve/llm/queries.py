@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oresieve.llm import secrets, tokenizing, unparsable
+from oresieve.llm import docpairs, secrets, spam, tokenizing, unparsable
 from oresieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +32,25 @@ def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.redacted(table(spark, sf, "components"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = docpairs.paired(table(spark, sf, "components"), table(spark, sf, "doc_compare"), with_code=False)
+    return found.select("id", "func_name").distinct()
+
+
+def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return docpairs.pairs(table(spark, sf, "components"), table(spark, sf, "doc_compare"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spam.stuffed(table(spark, sf, "documents"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return spam.stuffed_share(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p4_found, p4_redacted, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p4_found, p4_redacted, p6_found, p6_pairs, p7_ids, p9_found, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
