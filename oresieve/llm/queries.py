@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oresieve.llm import docpairs, handwritten, secrets, spam, tokenizing, unparsable
+from oresieve.llm import docpairs, handwritten, secrets, spam, tokenizing, truncation, unparsable
 from oresieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,8 +57,16 @@ def p2_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return handwritten.classified(table(spark, sf, "source_files"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf, "doc_compare"))
+
+
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(table(spark, sf, "doc_compare"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p4_found, p4_redacted, p6_found, p6_pairs, p7_ids, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_rates, p4_found, p4_redacted, p6_found, p6_pairs, p7_ids, p9_found, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
