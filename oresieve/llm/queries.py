@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oresieve.llm import docpairs, handwritten, secrets, spam, tokenizing, truncation, unparsable
+from oresieve.llm import docpairs, handwritten, pairs, secrets, spam, tokenizing, truncation, unparsable
 from oresieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,8 +66,17 @@ def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.rates(table(spark, sf, "doc_compare"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defective(table(spark, sf, "doc_compare"))
+
+
+def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
+    found = pairs.judged(table(spark, sf, "doc_compare"))
+    return found.groupBy(F.coalesce("defect_type", F.lit("none")).alias("defect_type")).agg(F.count("*").alias("pairs"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_rates, p4_found, p4_redacted, p6_found, p6_pairs, p7_ids, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_rates, p4_found, p4_redacted, p5_found, p5_counts, p6_found, p6_pairs, p7_ids, p9_found, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
