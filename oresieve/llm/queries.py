@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oresieve.llm import docpairs, handwritten, pairs, secrets, spam, tokenizing, truncation, unparsable
+from oresieve.llm import docpairs, handwritten, mixing, pairs, secrets, spam, tokenizing, truncation, unparsable
 from oresieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,8 +75,17 @@ def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy(F.coalesce("defect_type", F.lit("none")).alias("defect_type")).agg(F.count("*").alias("pairs"))
 
 
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf, "documents"), table(spark, sf, "source_targets"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "source_targets")
+    return mixing.shares(mixing.mixed(table(spark, sf, "documents"), targets), targets)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_rates, p4_found, p4_redacted, p5_found, p5_counts, p6_found, p6_pairs, p7_ids, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_rates, p4_found, p4_redacted, p5_found, p5_counts, p6_found, p6_pairs, p7_ids, p8_mix, p8_shares, p9_found, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
