@@ -111,7 +111,7 @@ def static_hints(source, language) -> dict[str, Column]:
 
 def trivial_function(source) -> Column:
     """At most three body lines, all of them a return or an assignment."""
-    lines = F.filter(F.transform(source_lines(source), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(source_lines(source), lambda x: F.trim(x)), lambda x: x != "")
     body = F.filter(lines, lambda x: ~x.rlike(r"^(?:def |function |async |export |public |private |protected |static |@|//|#|/\*|\*|\})") & ~x.isin("{", "}", ")", ");"))
     fine = F.forall(body, lambda x: x.rlike(r"^(?:return\s+|this\.\w+\s*=|self\.\w+\s*=|\w+\s*=\s*)"))
     return F.when(F.coalesce(col(source), F.lit("")) == "", F.lit(False)).otherwise((F.size(body) <= 3) & fine)
@@ -120,7 +120,7 @@ def trivial_function(source) -> Column:
 def trivial_component(source, language) -> Column:
     """A small body of returns, delegations and plain assignments, signature lines aside by language."""
     lang = col(language)
-    lines = F.filter(F.transform(source_lines(source), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(source_lines(source), lambda x: F.trim(x)), lambda x: x != "")
     code = F.filter(lines, lambda x: ~x.rlike(r"^(?:#|//|/\*|\*)"))
 
     def head(x):

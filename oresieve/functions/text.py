@@ -185,7 +185,7 @@ def attribute_descriptions(doc) -> Column:
     """Name → description of the lines of an Attributes section."""
     text = F.regexp_extract(F.coalesce(col(doc), F.lit("")), r"(?is)Attributes:\s*\n(.*?)(?:\n\s*\n|\z)", 1)
     names = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(\w+)[^:\n]*:"), F.lit(1))
-    values = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*\w+[^:\n]*:\s*(.*)$"), F.lit(1)), F.trim)
+    values = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*\w+[^:\n]*:\s*(.*)$"), F.lit(1)), lambda x: F.trim(x))
     return F.map_from_entries(F.array_distinct(F.arrays_zip(names.alias("k"), values.alias("v"))))
 
 
@@ -197,13 +197,13 @@ def example_text(doc) -> Column:
 
 def expected_call(example: Column) -> Column:
     """The first line that holds a call."""
-    lines = F.filter(F.transform(F.split(example, "\n"), F.trim), lambda x: F.contains(x, F.lit("(")) & F.contains(x, F.lit(")")))
+    lines = F.filter(F.transform(F.split(example, "\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit("(")) & F.contains(x, F.lit(")")))
     return F.try_element_at(lines, F.lit(1))
 
 
 def described(doc) -> Column:
     """The text between a docstring's first line and its first section heading."""
-    lines = F.transform(F.split(F.coalesce(col(doc), F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(col(doc), F.lit("")), "\n"), lambda x: F.trim(x))
     rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
     heading = F.transform(rest, lambda x: F.regexp_replace(F.lower(x), ":$", "").isin(*HEADINGS) | x.startswith("@") | x.startswith(":"))
     at = F.array_position(heading, F.lit(True))

@@ -166,7 +166,7 @@ def learning_curve(rows: DataFrame, key: str, order: list[str], value: str) -> D
     placed = rows.withColumn("__i", F.row_number().over(w) - 1).withColumn("__d", F.abs(F.lead(value).over(w) - F.col(value)))
     by = placed.groupBy(key).agg(F.min_by(value, "__i").alias("first"), F.max_by(value, "__i").alias("last"), F.min(F.when(F.col("__d") < 0.01, F.col("__i") + 1)).alias("converged_at"))
     change = F.when(F.col("first") == 0, 0.0).otherwise((F.col("last") - F.col("first")) / F.col("first"))
-    return by.select(key, "first", "last", F.round(change, 4).alias("improvement"), F.when(change > 0.1, "improving").when(change < -0.1, "declining").otherwise("stable").alias("trend"), "converged_at")
+    return by.select(key, "first", "last", F.round(change, 6).alias("improvement"), F.when(change > 0.1, "improving").when(change < -0.1, "declining").otherwise("stable").alias("trend"), "converged_at")
 
 
 def error_classes(rows: DataFrame) -> DataFrame:

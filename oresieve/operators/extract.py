@@ -137,11 +137,11 @@ def python_components(path: str, source: str) -> Iterator[dict]:
             is_class_method="classmethod" in decorators, is_abstract=any("abstractmethod" in d for d in decorators), visibility=visibility_of(node.name), source_code=code(node),
         )
 
-    def visit(body, owner: str | None, inside: bool) -> Iterator[dict]:
+    def visit(body, owner: str | None, inside: bool, top: bool) -> Iterator[dict]:
         for node in body:
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 yield function(node, owner if inside else None)
-                yield from visit(node.body, owner, False)
+                yield from visit(node.body, owner, False, False)
             elif isinstance(node, ast.ClassDef):
                 key = f"{owner or module}.{node.name}"
                 methods = [f"{key}.{x.name}" for x in node.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))]
@@ -156,16 +156,16 @@ def python_components(path: str, source: str) -> Iterator[dict]:
                     parent_classes=[ast.unparse(b) for b in node.bases], methods=methods, attributes=attributes, existing_docstring=ast.get_docstring(node), calls=_called(node), imports=names,
                     lines_of_code=node.end_lineno - node.lineno + 1, is_abstract=any("ABC" in ast.unparse(b) for b in node.bases), visibility=visibility_of(node.name), source_code=code(node),
                 )
-                yield from visit(node.body, key, True)
+                yield from visit(node.body, key, True, False)
             elif isinstance(node, (ast.If, ast.Try, ast.With, ast.For, ast.While)) and owner is None:
-                yield from visit([x for x in ast.iter_child_nodes(node) if isinstance(x, ast.stmt)], owner, inside)
-            elif owner is None and isinstance(node, (ast.Assign, ast.AnnAssign)):
+                yield from visit([x for x in ast.iter_child_nodes(node) if isinstance(x, ast.stmt)], owner, inside, top)
+            elif top and isinstance(node, (ast.Assign, ast.AnnAssign)):
                 for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
                     if isinstance(t, ast.Name):
                         yield _row(id=f"{module}.{t.id}", name=t.id, type="global_variable", language="python", file_path=path, start_line=node.lineno, end_line=node.end_lineno, source_code=code(node), visibility=visibility_of(t.id))
 
     yield _row(id=module, name=module.rpartition(".")[2], type="module", language="python", file_path=path, start_line=1, end_line=len(lines), existing_docstring=ast.get_docstring(tree), imports=names, lines_of_code=len(lines))
-    yield from visit(tree.body, None, False)
+    yield from visit(tree.body, None, False, True)
 
 
 def _row(**fields) -> dict:
@@ -331,8 +331,11 @@ def _script_parameters(inside: str) -> list[dict]:
 
 
 def _comment_before(text: str, at: int) -> str | None:
-    m = re.search(r"/\*\*([\s\S]*?)\*/\s*(?:(?:@\w+(?:\([^)]*\))?|export|default|public|private|protected|static|final|abstract|async)\s+)*$", text[max(0, at - 4000) : at])
-    return re.sub(r"^\s*\*\s?", "", m.group(1), flags=re.M).strip() if m else None
+    """The text of the documentation comment that ends right before a place, annotations and modifiers between aside."""
+    before = text[max(0, at - 4000) : at]
+    m = re.search(r"\*/\s*(?:(?:@\w+(?:\([^)]*\))?|export|default|public|private|protected|static|final|abstract|async)\s+)*$", before)
+    start = before.rfind("/**", 0, m.start() + 1) if m else -1
+    return re.sub(r"^\s*\*\s?", "", before[start + 3 : m.start()], flags=re.M).strip() if start >= 0 else None
 
 
 def bracket_components(path: str, source: str, language: str) -> Iterator[dict]:

@@ -70,7 +70,7 @@ def request_xml(calls: Column, callers: Column, queries: Column) -> Column:
 
 
 def parsed_request(xml) -> dict[str, Column]:
-    items = lambda tag: F.filter(F.transform(F.split(F.coalesce(tag_text(xml, tag), F.lit("")), ","), F.trim), lambda x: x != "")
+    items = lambda tag: F.filter(F.transform(F.split(F.coalesce(tag_text(xml, tag), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return {"calls": items("CALLS"), "callers": items("CALL_BY"), "queries": items("RETRIEVAL")}
 
 

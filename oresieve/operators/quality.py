@@ -54,7 +54,7 @@ def has_summary(doc) -> Column:
 def has_description(doc, language) -> Column:
     """For Python a second paragraph that is no section, else a second line that is no tag."""
     raw = F.coalesce(col(doc), F.lit(""))
-    chunks = F.transform(F.split(F.trim(raw), r"\n\s*\n"), F.trim)
+    chunks = F.transform(F.split(F.trim(raw), r"\n\s*\n"), lambda x: F.trim(x))
     second = F.lower(F.coalesce(F.try_element_at(F.filter(chunks, lambda x: x != ""), F.lit(2)), F.lit("")))
     headings = [label for labels in LABELS["python"].values() for label in labels]
     python = (second != "") & ~F.exists(F.array(*[F.lit(h) for h in headings]), lambda h: F.startswith(second, h))

@@ -128,7 +128,7 @@ def learning_curve(spark, sf):
 
 SQL_CURVE = """WITH p AS (SELECT user_id, value, row_number() OVER w - 1 AS i, abs(lead(value) OVER w - value) AS d FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT user_id, arg_min(value, i) AS first, arg_max(value, i) AS last, CAST(min(CASE WHEN d < 0.01 THEN i + 1 END) AS INT) AS converged_at FROM p GROUP BY 1), c AS (SELECT *, CASE WHEN first = 0 THEN 0.0 ELSE (last - first) / first END AS ch FROM b)
-SELECT user_id, first, last, round(ch, 4) AS improvement, CASE WHEN ch > 0.1 THEN 'improving' WHEN ch < -0.1 THEN 'declining' ELSE 'stable' END AS trend, converged_at FROM c"""
+SELECT user_id, first, last, round(ch, 6) AS improvement, CASE WHEN ch > 0.1 THEN 'improving' WHEN ch < -0.1 THEN 'declining' ELSE 'stable' END AS trend, converged_at FROM c"""
 
 
 def running_offset(spark, sf):
