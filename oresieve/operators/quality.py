@@ -162,7 +162,7 @@ def helpfulness_rollup(scores: DataFrame) -> DataFrame:
     """Mean, least and greatest score overall, by language, by aspect and by type; scores: (language, aspect, type, score)."""
     keys = ["language", "aspect", "type"]
     return scores.groupingSets([[F.col(k)] for k in keys] + [[]], *[F.col(k) for k in keys]).agg(
-        F.count("*").alias("scores"), F.round(F.avg("score"), 2).alias("average"), F.min("score").alias("least"), F.max("score").alias("greatest")
+        F.count("*").alias("scores"), F.round(F.avg("score"), 6).alias("average"), F.min("score").alias("least"), F.max("score").alias("greatest")
     )
 
 

@@ -240,7 +240,7 @@ def helpfulness_rollup(spark, sf):
 
 
 SQL_HELP = f"""WITH s AS (SELECT writer AS language, 'summary' AS aspect, component_type AS type, CAST(1 + floor(metrics.word_overlap * 4.999) AS BIGINT) AS score FROM {REPLIES} WHERE metrics.word_overlap IS NOT NULL)
-SELECT language, aspect, type, count(*) AS scores, round(avg(score), 2) AS average, min(score) AS least, max(score) AS greatest FROM s GROUP BY GROUPING SETS ((language), (aspect), (type), ())"""
+SELECT language, aspect, type, count(*) AS scores, round(avg(score), 6) AS average, min(score) AS least, max(score) AS greatest FROM s GROUP BY GROUPING SETS ((language), (aspect), (type), ())"""
 
 
 def helpfulness_candidates(spark, sf):
