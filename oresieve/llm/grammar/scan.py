@@ -38,7 +38,7 @@ _NUM = (
 )
 _STR = r"\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"
 _PUNCT = (
-    r"\?\?=|\?\?|\?\.(?!\d)|\.\.\.|=>|===|!==|==|!=|<<=|<<|<=|>=|\*\*=|\*\*|&&=|\|\|=|&&|\|\||\+\+|--|[-+*%&|^]=|[{}()\[\];,<>+\-*%&|^!~?:=.@]"
+    r"\?\?=|\?\?|\?\.(?!\d)|\.\.\.|\.(?!\d)|=>|===|!==|==|!=|<<=|<<|<=|>=|\*\*=|\*\*|&&=|\|\|=|&&|\|\||\+\+|--|[-+*%&|^]=|[{}()\[\];,<>+\-*%&|^!~?:=@]"
 )
 _JS = re.compile(rf"{_SKIP}(?:({_ID})|({_PUNCT})|({_STR})|({_NUM})|(\#{_ID})|(/)|(`))")
 _TAIL = re.compile(rf"{_SKIP}\Z")
