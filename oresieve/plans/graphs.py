@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oresieve.operators import extract, flow, graph, joins, validation
-from oresieve.plans.tables import COMPONENTS, EDGES, FILES, NODES, components, edges, files, nodes, table
+from oresieve.functions import docs
+from oresieve.operators import extract, flow, graph, joins, lookup, validation
+from oresieve.plans.tables import COMPONENTS, EDGES, FILES, NODES, components, edges, files, nodes, replies, table
 
 
 def _modules(spark, sf):
@@ -279,6 +280,71 @@ def band_alignment(spark, sf):
     return joins.band_pairs(n, c, ["file", "name"], "line", 1)
 
 
+def listed_components(spark, sf):
+    c = components(spark, sf).withColumn("file_path", F.col("location.file_path"))
+    return lookup.listed(c).select("id", "type", "parent_class")
+
+
+SQL_LISTED = f"""SELECT id, CASE type WHEN 'constructor' THEN 'method' WHEN 'arrow_function' THEN 'function' ELSE type END AS type, CASE WHEN type IN ('constructor', 'method') THEN nullif(split_part(id, '.', -2), '') END AS parent_class
+FROM {COMPONENTS} WHERE type NOT IN ('field', 'static_field', 'global_variable', 'variable', 'api_endpoint', 'import')"""
+
+
+def file_tree(spark, sf):
+    f = files(spark, sf).select(F.concat_ws("/", "repo", "path").alias("path"))
+    return lookup.tree_order(f).select("path", "parent", "name", "is_file")
+
+
+SQL_TREE = f"""WITH f AS (SELECT DISTINCT string_split(concat_ws('/', repo, path), '/') AS p FROM {FILES}), e AS (SELECT DISTINCT array_to_string(p[1:k], '/') AS path, k = len(p) AS is_file FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM f))
+SELECT path, regexp_extract(path, '^(.*)/[^/]+$', 1) AS parent, split_part(path, '/', -1) AS name, is_file FROM e"""
+
+
+def searched_files(spark, sf):
+    return lookup.searched(files(spark, sf), "path", "GateWay").groupBy("repo").agg(F.count("*").alias("n"))
+
+
+SQL_SEARCH = f"SELECT repo, count(*) AS n FROM {FILES} WHERE contains(lower(path), 'gateway') GROUP BY repo"
+
+
+def name_aliases(spark, sf):
+    return lookup.aliases(components(spark, sf).filter("type <> 'module'")).groupBy("kind").agg(F.count("*").alias("aliases"), F.count_distinct("low").alias("names"))
+
+
+SQL_ALIASES = f"""WITH a AS (SELECT DISTINCT id, type AS kind, lower(unnest(CASE WHEN type IN ('method', 'constructor') THEN [name, concat_ws('.', nullif(split_part(id, '.', -2), ''), name)] ELSE [name, id] END)) AS low FROM {COMPONENTS} WHERE type <> 'module')
+SELECT kind, count(*) AS aliases, count(DISTINCT low) AS names FROM a GROUP BY kind"""
+
+
+def severities(spark, sf):
+    l = table(spark, sf, "lineitem").select(F.when(F.col("l_discount") >= 0.08, "critical").when(F.col("l_discount") >= 0.05, "high").when(F.col("l_discount") >= 0.02, "medium").otherwise("low").alias("severity"), F.col("l_returnflag").alias("cwe"))  # noqa: E741
+    return lookup.severity_histogram(l, "severity", "cwe")
+
+
+SQL_SEVERITIES = "SELECT CASE WHEN l_discount >= 0.08 THEN 'critical' WHEN l_discount >= 0.05 THEN 'high' WHEN l_discount >= 0.02 THEN 'medium' ELSE 'low' END AS severity, l_returnflag AS cwe, count(*) AS n FROM lineitem GROUP BY 1, 2"
+
+
+def resolved_dependencies(spark, sf):
+    return lookup.resolved_dependencies(extract.components(_parsed(spark, sf)))
+
+
+def documentation_similarity(spark, sf):
+    return docs.similarity(replies(spark, sf), "record_id", "original_comment", "generated_docstring").select("record_id", F.round("bleu4", 6).alias("bleu4"), F.round("rouge_l", 6).alias("rouge_l"))
+
+
+def tree_completeness(spark, sf):
+    c = components(spark, sf).filter("language = 'python' AND type IN ('function', 'class')")
+    return docs.tree_scores(c).select("id", F.round("score", 6).alias("score"))
+
+
+def script_facts(spark, sf):
+    facts = docs.script_facts("source_code")
+    c = components(spark, sf).filter("language IN ('javascript', 'typescript')")
+    return c.groupBy("language", "type").agg(F.sum(F.size(facts["promise_handlers"])).alias("handlers"), F.sum(F.size(facts["middleware"])).alias("middleware"), F.count_if(facts["iife"]).alias("iife"), F.sum(facts["inline_functions"]).alias("inline"))
+
+
+def reaching_definitions(spark, sf):
+    s = _statements(spark, sf)
+    return flow.reaching_definitions(s, flow.cfg_edges(s))
+
+
 QUERIES = {
     "call_edges": (call_edges, SQL_CALLS), "priority_resolution": (priority_resolution, SQL_PRIORITY), "suffix_imports": (suffix_imports, SQL_SUFFIX), "existence_counts": (existence_counts, SQL_EXISTENCE), "restricted_edges": (restricted_edges, SQL_RESTRICTED),
     "placeholder_nodes": (placeholder_nodes, SQL_PLACEHOLDERS), "gathered_context": (gathered_context, SQL_CONTEXT), "call_buckets": (call_buckets, None), "owner_rollup": (owner_rollup, SQL_ROLLUP), "bfs_depth": (bfs_depth, SQL_BFS), "khop_subgraph": (khop_subgraph, SQL_KHOP),
@@ -286,4 +352,6 @@ QUERIES = {
     "graph_statistics": (graph_statistics, SQL_GSTATS), "reverse_adjacency": (reverse_adjacency, SQL_REVERSE), "edge_types": (edge_types, SQL_TYPES), "neighbours": (neighbours, SQL_NEIGHBOURS), "dependency_order": (dependency_order, None),
     "extracted_components": (extracted_components, None), "extracted_statements": (extracted_statements, None), "control_flow_graph": (control_flow_graph, None), "dependence_graph": (dependence_graph, None), "hybrid_graph": (hybrid_graph, None), "knowledge_graph": (knowledge_graph, None),
     "api_endpoints": (api_endpoints, None), "extraction_quality": (extraction_quality, None), "band_alignment": (band_alignment, None),
+    "listed_components": (listed_components, SQL_LISTED), "file_tree": (file_tree, SQL_TREE), "searched_files": (searched_files, SQL_SEARCH), "name_aliases": (name_aliases, SQL_ALIASES), "severities": (severities, SQL_SEVERITIES),
+    "resolved_dependencies": (resolved_dependencies, None), "documentation_similarity": (documentation_similarity, None), "tree_completeness": (tree_completeness, None), "script_facts": (script_facts, None), "reaching_definitions": (reaching_definitions, None),
 }

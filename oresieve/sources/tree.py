@@ -111,3 +111,20 @@ def load_samples(spark: SparkSession, path: str) -> DataFrame:
     schema = "repo string, path string, func_name string, function_name string, name string, language string, code string, original_string string, comment string, docstring string"
     rows = spark.read.schema(schema).json(path)
     return rows.select("repo", "path", F.coalesce("function_name", "func_name", "name").alias("func_name"), "language", F.coalesce("code", "original_string").alias("code"), F.coalesce("comment", "docstring").alias("comment"))
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def report(rows: DataFrame, path: str, title: str) -> None:
+    """A result as JSON lines and as lines of Markdown."""
+    rows.write.mode("overwrite").json(f"{path}/json")
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]), F.lit(" |"))
+    head = rows.sparkSession.createDataFrame([(f"# {title}\n\n| " + " | ".join(rows.columns) + " |\n|" + "-|" * len(rows.columns),)], "value string")
+    head.unionByName(rows.select(cells.alias("value"))).write.mode("overwrite").text(f"{path}/markdown")

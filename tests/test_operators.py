@@ -203,3 +203,33 @@ def test_sources(spark, tmp_path):
     assert shapes == {"n": "N", "m.f": "f", "l": "L"}
     (tmp_path / "s.jsonl").write_text('{"id": "1", "docstring": "d"}\n{"component_id": "2", "documentation": " "}\n')
     assert [tuple(r) for r in tree.read_systems(spark, str(tmp_path / "s.jsonl")).collect()] == [("default_system", "1", "d")]
+
+
+def test_documentation_functions(spark):
+    from oresieve.functions import docs
+
+    assert one(spark, docs.style_of(F.lit(" JS "))) == "jsdoc" and one(spark, docs.style_of(F.lit(None).cast("string"))) == "google"
+    assert one(spark, docs.without_blocks(F.lit("/**\n * @summary x\n * y\n * @param a\n */"))) == "/**\n * @param a\n */"
+    params = F.array(F.struct(F.lit("a").alias("name"), F.lit("first").alias("description")), F.struct(F.lit("b").alias("name"), F.lit(None).cast("string").alias("description")))
+    assert one(spark, docs.with_params(F.lit("Adds.\n@param a x"), params)) == "Adds.\n@param a x\n@param b"
+    assert one(spark, docs.rendered(F.lit("Adds."), params, F.lit("sum"), "google")) == "Adds.\n\nArgs:\n    a: first\n    b: \n\nReturns:\n    sum"
+    call = one(spark, docs.first_call(F.lit("x = a.b.run(1)")))
+    assert (call.receiver, call.name) == ("a.b", "run")
+    assert docs.same_call("f(1, k=2)", "f(1,k = 2)") == (True, "") and docs.same_call("f(1)", "f(2)")[1] == "positional" and docs.same_call("g()", "f()")[1] == "name" and docs.same_call("(", "f()")[1] == "unparsable"
+    assert docs.rouge_l("a b c d".split(), "a c d e".split()) == 0.75 and docs.bleu4("a b c d e".split(), "a b c d e".split()) == 1.0 and docs.bleu4([], ["a"]) == 0.0
+    assert docs.tree_completeness('def f(a):\n    """Adds.\n\n    More text.\n\n    Args:\n        a: x\n    """\n    return a') == 0.6
+    assert docs.tree_completeness("def __init__(self): pass") == 1.0 and docs.tree_completeness("def f(: x") is None and docs.tree_completeness("def f(): pass") == 0.0
+
+
+def test_lookups(spark):
+    from oresieve.operators import extract, lookup
+
+    files = spark.createDataFrame([("p/a.py", "from p.b import helper\ndef run():\n    helper()\n    local()\ndef local(): pass\n"), ("p/b.py", "def helper(): pass\n"), ("p/c.py", "def helper(): pass\n")], "path string, value string")
+    c = extract.components(files)
+    assert {(r.src, r.dst, r.via) for r in lookup.resolved_dependencies(c).collect()} == {("p.a.run", "p.b.helper", "import"), ("p.a.run", "p.a.local", "file")}
+    assert lookup.found_by_name(c, "helper").first().id == "p.b.helper" and lookup.found_by_key(c, "a.run").first().id == "p.a.run" and lookup.listed(c, "function", "p/a.py").count() == 2
+    order = [r.path for r in lookup.tree_order(spark.createDataFrame([("d/z.py",), ("d/e/f.py",), ("a.py",)], "path string")).collect()]
+    assert order == ["d", "a.py", "d/e", "d/z.py", "d/e/f.py"]
+    s = lookup.sample_components(spark.createDataFrame([("r", "add", "async function add(a, b = 1) {\n return a; }")], "repo string, func_name string, code string")).first()
+    assert s.parameters == ["a", "b"] and s.is_async and s.type == "function" and s.signature == "async function add(a, b = 1)"
+    assert round(sum(lookup.AGENT_WEIGHTS.values()), 9) == 1.0 and one(spark, lookup.agent_score({k: F.lit(1.0) for k in lookup.AGENT_WEIGHTS})) == 1.0
