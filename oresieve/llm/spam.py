@@ -39,8 +39,11 @@ _LINK = re.compile(
     r"|\b[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|edu|gov|example|test|invalid|io|info|biz|dev|app|shop|store|site|online|xyz|club|top|co|us|uk|eu|de|fr|es|pt|br|it|nl|ru|cn|jp|in)\b(?:/\S*)?",
     re.I,
 )
+#: Without one of these a unit holds no link.
+_MAYBE = re.compile(r"\w\.\w|\]\(|<a\s|//|\]:", re.I)
 _HASH = re.compile(r"(?<!\w)#\w+")
 _PRICE = re.compile(r"(?:[$€£¥]\s?\d[\d.,]*|\d[\d.,]*\s?(?:[$€£¥]|EUR|USD|GBP|BRL|CHF)\b)")
+_DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"(?<=[.!?…。！？])[\"')\]]*\s+")
 _END = re.compile(r"[.!?…。！？][\"')\]]*(?:\s|$)")
@@ -52,11 +55,11 @@ _ENTRY = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+\S+(?:\s+\S+){4,}")
 def _kind(unit: str) -> str:
     if _LOG.match(unit):
         return "log"
-    links = sum(len(m.group(0)) for m in _LINK.finditer(unit))
-    rest = _WORD.findall(_LINK.sub(" ", unit))
+    links = sum(len(m.group(0)) for m in _LINK.finditer(unit)) if _MAYBE.search(unit) else 0
+    rest = _WORD.findall(_LINK.sub(" ", unit) if links else unit)
     if links >= 0.5 * len(unit) or (links and len(rest) < 4):
         return "bare"
-    known = sum(w.lower() in _KNOWN for w in rest)
+    known = sum(w in _KNOWN or w.lower() in _KNOWN for w in rest)
     if len(rest) >= 4 and known >= FUNCTION_WORDS * len(rest) and not _PRICE.search(unit):
         return "text"
     if _CODE.search(unit) and not links:
@@ -83,9 +86,14 @@ def blocks(text: str) -> list[tuple[str, str]]:
     return [(kind, "\n".join(units)) for kind, units in out]
 
 
+def unlinked(block: str, sign: str) -> str:
+    return _LINK.sub(sign, block) if _MAYBE.search(block) else block
+
+
 def masked(block: str) -> str:
-    block = _HASH.sub("#", _LINK.sub("~", block))
-    return re.sub(r"\d+", "0", _PRICE.sub("$", block))
+    block = unlinked(block, "~")
+    block = _HASH.sub("#", block) if "#" in block else block
+    return _DIGITS.sub("0", _PRICE.sub("$", block)) if _DIGITS.search(block) else block
 
 
 def ratio(block: str) -> float:
@@ -100,10 +108,15 @@ def measures(text: str) -> Iterator[tuple[str, int, float, float, float]]:
             block = whole[start : start + BLOCK]
             if not block.strip():
                 continue
-            words = _WORD.findall(_LINK.sub(" ", block))
+            if kind == "text":  # only its ratio counts, for the baselines
+                yield kind, len(block), ratio(block), 100.0, 1.0
+                continue
+            if kind != "bare":
+                yield kind, len(block), 1.0, 100.0, 1.0
+                continue
+            words = _WORD.findall(unlinked(block, " ").lower())
             n = max(1, len(words))
-            known = sum(w.lower() in _KNOWN for w in words)
-            yield kind, len(block), ratio(block), 100.0 * len(_END.findall(_LINK.sub("~ ", block))) / n, known / n
+            yield kind, len(block), ratio(block), 100.0 * len(_END.findall(unlinked(block, "~ "))) / n, sum(w in _KNOWN for w in words) / n
 
 
 def language(column):
