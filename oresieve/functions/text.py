@@ -36,7 +36,7 @@ def unigram_precision(reference: Column, hypothesis: Column) -> Column:
 def clipped_bleu1(reference: Column, hypothesis: Column) -> Column:
     """Unigram precision with each token counted at most as often as in the reference, times the brevity penalty."""
     def count(tokens, t):
-        return F.size(F.filter(tokens, lambda x: x == t))
+        return F.size(tokens) - F.size(F.array_remove(tokens, t))
 
     hits = F.aggregate(F.array_distinct(hypothesis), F.lit(0), lambda acc, t: acc + F.least(count(reference, t), count(hypothesis, t)))
     n, m = F.size(hypothesis), F.size(reference)

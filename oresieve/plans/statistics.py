@@ -171,10 +171,10 @@ SELECT CASE WHEN k = 0 THEN '0' WHEN k = 1 THEN '1' WHEN k <= 3 THEN '2-3' WHEN
 
 def writer_scores(spark, sf):
     r = replies(spark, sf).filter("metrics.word_overlap IS NOT NULL AND metrics.bleu1 IS NOT NULL")
-    return r.groupBy("writer").agg(F.count("*").alias("n"), F.round(F.avg("metrics.word_overlap"), 4).alias("overlap"), F.round(F.avg("metrics.bleu1"), 4).alias("bleu1"), F.round(F.avg("elapsed_sec"), 4).alias("elapsed"), F.round(F.avg(F.col("success").cast("int")), 4).alias("success_rate"))
+    return r.groupBy("writer").agg(F.count("*").alias("n"), F.round(F.avg("metrics.word_overlap"), 9).alias("overlap"), F.round(F.avg("metrics.bleu1"), 9).alias("bleu1"), F.round(F.avg("elapsed_sec"), 9).alias("elapsed"), F.round(F.avg(F.col("success").cast("int")), 9).alias("success_rate"))
 
 
-SQL_WRITERS = f"""SELECT writer, count(*) AS n, round(avg(metrics.word_overlap), 4) AS overlap, round(avg(metrics.bleu1), 4) AS bleu1, round(avg(elapsed_sec), 4) AS elapsed, round(avg(CAST(success AS INT)), 4) AS success_rate
+SQL_WRITERS = f"""SELECT writer, count(*) AS n, round(avg(metrics.word_overlap), 9) AS overlap, round(avg(metrics.bleu1), 9) AS bleu1, round(avg(elapsed_sec), 9) AS elapsed, round(avg(CAST(success AS INT)), 9) AS success_rate
 FROM {REPLIES} WHERE metrics.word_overlap IS NOT NULL AND metrics.bleu1 IS NOT NULL GROUP BY writer"""
 
 
