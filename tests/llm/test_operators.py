@@ -160,9 +160,9 @@ def test_found_and_redacted(spark):
     data = [
         ("a", "r1", "python", f'api_key = "{secret}"\nuse(api_key)\n'), ("a", "r1", "python", f'api_key = "{secret}"\nuse(api_key)\n'), ("b", "r2", "python", f'# moved away: {secret}\nx = 1'), ("c", "r1", "python", None), ("d", None, "python", ""), ("e", "r1", None, "x" * 200000),
         ("f", "r1", "javascript", f"const apiKey = '{secret[:20]}' + '{secret[20:]}';"),
-    ] + [(f"p{i}", f"q{i}", "python", 'password = "shared-default-9"') for i in range(8)]
+    ] + [(f"p{i}", f"q{i}", "python", f'part{i}_password = "shared-default-9"') for i in range(8)] + [(f"v{i}", f"q{i}", "python", 'lib_password = "Lease&reservoir1581"') for i in range(8)]
     df = clash(spark.createDataFrame(data, PARTS))
-    assert rows(secrets.found_secrets(df), "id", "line_no") == [("a", 1), ("b", 1), ("f", 1)]
+    assert rows(secrets.found_secrets(df), "id", "line_no") == [("a", 1), ("b", 1), ("f", 1)] + [(f"v{i}", 1) for i in range(8)]
     out = {r.id: r.redacted for r in secrets.redacted(df).collect()}
     assert out["a"] == 'api_key = "' + "x" * 40 + '"\nuse(api_key)\n' and secret[:20] not in out["f"] and out["f"].count("'") == 4
     assert secrets.found_secrets(spark.createDataFrame([], PARTS)).count() == 0
