@@ -30,7 +30,8 @@ _BLOCK_BEFORE = frozenset([")", ";", "{", "}", "=>", "else", "try", "finally", "
 _HEAD_WORDS = frozenset("if while for with".split())
 
 _SPACE = r"[ \t\v\f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000\ufeff]"
-_SKIP = rf"(?:{_SPACE}+|[\n\r\u2028\u2029]+|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/)*"
+# atomic: what is skipped is never given back to look for a token inside it
+_SKIP = rf"(?>(?:{_SPACE}+|[\n\r\u2028\u2029]+|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/)*)"
 _ID = r"(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
 _NUM = (
     r"(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[bB][01]+(?:_[01]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?"
@@ -204,7 +205,7 @@ JAVA_KEYWORDS = frozenset(
     "for goto if implements import instanceof int interface long native new package private protected public return short static "
     "strictfp super switch synchronized this throw throws transient try void volatile while true false null _".split()
 )
-_JSKIP = r"(?:[ \t\f]+|[\n\r]+|//[^\n\r]*|/\*[\s\S]*?\*/)*"
+_JSKIP = r"(?>(?:[ \t\f]+|[\n\r]+|//[^\n\r]*|/\*[\s\S]*?\*/)*)"
 _JNUM = (
     r"(?:0[xX][0-9a-fA-F](?:[0-9a-fA-F_]*[0-9a-fA-F])?(?:\.[0-9a-fA-F]*)?(?:[pP][+-]?\d+[fFdD]?)?[lL]?|0[bB][01](?:[01_]*[01])?[lL]?"
     r"|(?:\d(?:[\d_]*\d)?(?:\.(?:\d(?:[\d_]*\d)?)?)?|\.\d(?:[\d_]*\d)?)(?:[eE][+-]?\d+)?[lLfFdD]?)(?![\w$])"

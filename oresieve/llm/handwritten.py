@@ -25,6 +25,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,21 +72,32 @@ LIBRARY_PATH = re.compile(r"(?:^|/)(?:node_modules|bower_components|third_party|
 MINIFIED_PATH = re.compile(r"[.-]min\.(?:js|jsx|mjs|cjs|ts|tsx)$", re.I)
 
 
+class _Symbols(dict):
+    """Name, keyword or sign → its symbol; filled as they come, emptied at a size."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = word if word in KEYWORDS or not (word[0] == "_" or word[0] == "$" or word[0].isalpha()) else "I"
+        return out
+
+
+_SYMBOLS = _Symbols()
+
+
 def tokens(text: str) -> tuple[list[str], list[str], int]:
     """(tokens, their symbols with names, numbers and strings reduced, characters in literals)."""
     true, kinds, literal = [], [], 0
-    for m in _TOKEN.finditer(text):
-        i = m.lastindex
-        if i is None:
-            continue
-        t = m.group(i)
-        true.append(t)
-        if i == 4 or (i == 2 and t in KEYWORDS):
-            kinds.append(t)
-        else:
-            kinds.append("SIN"[i - 1])
-            if i != 2:
-                literal += len(t)
+    for string, word, number, sign in _TOKEN.findall(text):
+        if word or sign:
+            t = word or sign
+            true.append(t)
+            kinds.append(_SYMBOLS[t])
+        elif string or number:
+            t = string or number
+            true.append(t)
+            kinds.append("S" if string else "N")
+            literal += len(t)
     return true, kinds, literal
 
 
@@ -195,7 +207,7 @@ def says_generated(top: str, text: str) -> bool:
     return bool(GENERATED_MARK.match(text[:800]))
 
 
-def own_reason(path: str, text: str) -> str | None:
+def own_reason(path: str, text: str, found: tuple[list[str], list[str], int] | None = None) -> str | None:
     """Why the file itself is not hand-written, by what it holds and says; None where nothing speaks for it."""
     top = head(text)
     if says_generated(top + "\n" + foot(text), text) or TOOL_PATH.search(path):
@@ -204,7 +216,7 @@ def own_reason(path: str, text: str) -> str | None:
         return "minified"
     if LIBRARY_PATH.search(path) or LIBRARY_SAYS.search(top[:1500]):
         return "vendored"
-    true, kinds, literal = tokens(text)
+    true, kinds, literal = found or tokens(text)
     dense = sum(len(t) for t in true) or 1
     signs = sum(1 for k in kinds if k in ",[]{}-")
     if len(text) > 600 and literal + signs > LITERALS * dense and incompressible(text) > BITS and sum(k in ("S", "N") for k in kinds) > 0.25 * len(kinds):
@@ -214,25 +226,45 @@ def own_reason(path: str, text: str) -> str | None:
     return None
 
 
-def consistent_rules(true: list[str], rounds: int = ROUNDS) -> list[tuple[int, int]]:
-    """(name, tokens) of the rules of the last round."""
-    import xxhash
+class _Hashes(dict):
+    """Token → 64 bits; filled as they come, emptied at a size."""
 
-    seq = [(xxhash.xxh3_64_intdigest(t), 1) for t in true]
-    for level in range(rounds):
-        if len(seq) < 3:
-            break
-        keys = [xxhash.xxh3_64_intdigest(h.to_bytes(8, "little"), seed=level + 1) for h, _ in seq]
-        out, part = [], []
-        last = len(seq) - 1
-        for i, s in enumerate(seq):
-            part.append(s)
-            if i == last or (0 < i and keys[i] < keys[i - 1] and keys[i] <= keys[i + 1] and len(part) > 1):
-                name = xxhash.xxh3_64_intdigest(b"".join(h.to_bytes(8, "little") for h, _ in part), seed=100 + level)
-                out.append((name, sum(n for _, n in part)))
-                part = []
-        seq = out
-    return seq
+    def __missing__(self, token: str) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = out = xxhash.xxh3_64_intdigest(token)
+        return out
+
+
+_HASHES = _Hashes()
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A permutation of 64 bits that depends on a seed."""
+    x = x ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & 0xFFFFFFFFFFFFFFFF)
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def consistent_rules(true: list[str], rounds: int = ROUNDS) -> list[tuple[int, int]]:
+    """(name, tokens) of the rules of the last round; a phrase ends at each symbol whose mixed hash is a local minimum."""
+    names = np.array([_HASHES[t] for t in true], dtype=np.uint64)
+    sizes = np.ones(len(names), dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for level in range(rounds):
+            if len(names) < 3:
+                break
+            keys = _mixed(names, 2 * level)
+            ends = np.zeros(len(names), dtype=bool)
+            ends[1:-1] = (keys[1:-1] < keys[:-2]) & (keys[1:-1] <= keys[2:])
+            starts = np.concatenate(([0], np.flatnonzero(ends) + 1))
+            place = np.arange(len(names)) - np.repeat(starts, np.diff(np.append(starts, len(names))))
+            parts = _mixed(names + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), 2 * level + 1)
+            names, sizes = _mixed(np.add.reduceat(parts, starts), 100 + level), np.add.reduceat(sizes, starts)
+    return list(zip(names.tolist(), sizes.tolist()))
 
 
 SCHEMA = "file_id long, owner string, path string, reason string, rule long, size int"
@@ -243,8 +275,9 @@ def analysed(files: DataFrame, file_id: str = "file_id", repo: str = "repo", pat
 
     def rule(key, owner, where, source) -> Iterator[tuple]:
         source = source or ""
-        yield key, owner, where, own_reason(where, source) if source.strip() else None, 0, 0
-        for name, size in consistent_rules(tokens(source)[0]):
+        found = tokens(source)
+        yield key, owner, where, own_reason(where, source, found) if source.strip() else None, 0, 0
+        for name, size in consistent_rules(found[0]):
             yield key, owner, where, None, name - (1 << 63), size
 
     code = files.filter(F.lower(F.regexp_extract(path, r"\.(\w+)$", 1)).isin(*LANGUAGES))

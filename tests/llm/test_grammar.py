@@ -77,6 +77,18 @@ def test_java_refuses(text):
         parse_java(text)
 
 
+@pytest.mark.parametrize("end", ["// the end. DO NOT EDIT.\n", "// a b c d", "/* ( [ { */", "/** x. */\n", "// it's"])
+def test_comments_at_the_end_hold_no_tokens(end):
+    parse_script("let a = 1;\n" + end)
+    parse_script("let a: number = 1;\n" + end, ts=True)
+    parse_java("class A { }\n" + end)
+    for text in ("let a = ;" + end, "let a = 1; /* open"):
+        with pytest.raises(Bad):
+            parse_script(text)
+    with pytest.raises(Bad):
+        parse_java("class A { /* open }")
+
+
 def test_deep_nesting_ends():
     for text in ("(" * 5000 + ")" * 5000, "{" * 3000 + "}" * 3000, "[" * 900):
         try:
