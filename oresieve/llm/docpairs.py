@@ -50,7 +50,8 @@ _FUNCTION = regex.compile(
     regex.X | regex.V1,
 )
 _CLASS = regex.compile(r"\b(?:class|interface|enum|record)\b[^{;]*+\{")
-_STEP = regex.compile(r"(?:\s++)?+[\s\S]")
+_ABOVE = regex.compile(_PARTS + _LEAD, regex.X | regex.V1)
+_NEXT = regex.compile(r"[^\n;}]*+(?:[\n;}]|\Z)", regex.V1)
 _COMMENT = regex.compile(r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/|\n[ \t]*+(?=\n)|@[\w.]++")
 
 _PYTHON = regex.compile(
@@ -170,7 +171,11 @@ def brace_functions(text: str, inside_class: bool) -> Iterator[tuple[str, str, s
     while at < len(text):
         m = _MEMBER.match(text, at)
         if m is None or m.end() == at:
-            at += 1
+            # nothing to read here: past what stands above, the class ends or the next line begins
+            at = _ABOVE.match(text, at).end()
+            if text.startswith("}", at):
+                return
+            at = _NEXT.match(text, at).end()
             continue
         at = m.end()
         if m.group("params") is not None:

@@ -36,7 +36,7 @@ FUNCTION = {
 _KNOWN = frozenset(w for words in FUNCTION.values() for w in words.split())
 _LINK = re.compile(
     r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)|\[\d+\]:\s*\S+|(?:https?|ftp)://\S+|www\.\S+"
-    r"|\b[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|edu|gov|example|test|invalid|io|info|biz|dev|app|shop|store|site|online|xyz|club|top|co|us|uk|eu|de|fr|es|pt|br|it|nl|ru|cn|jp|in)\b(?:/\S*)?",
+    r"|(?<![\w.@-])[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.(?:com|net|org|edu|gov|example|test|invalid|io|info|biz|dev|app|shop|store|site|online|xyz|club|top|co|us|uk|eu|de|fr|es|pt|br|it|nl|ru|cn|jp|in)\b(?:/\S*)?",
     re.I,
 )
 #: Without one of these a unit holds no link.
@@ -48,7 +48,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"(?<=[.!?…。！？])[\"')\]]*\s+")
 _END = re.compile(r"[.!?…。！？][\"')\]]*(?:\s|$)")
 _LOG = re.compile(r"^\W{0,2}(?:\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|\d\d/\w{3}/\d{4}|(?:INFO|WARN(?:ING)?|ERROR|DEBUG|TRACE|FATAL)\b|\w{3} +\d+ \d\d:\d\d)")
-_CODE = re.compile(r"[;{}]\s*$|^\s*(?:def|class|return|import|from|if|for|while|const|let|var|public|private|@|//|/\*|\*|#!|>>>|\$ |pip |npm |print).*[(){}=:;]|\w+\([^)]*\)|\w+\s*[-+]?=\s*\S|[{}\[\]]\s*,?\s*$")
+_CODE = re.compile(r"[;{}]\s*$|^\s*(?:def|class|return|import|from|if|for|while|const|let|var|public|private|@|//|/\*|\*|#!|>>>|\$ |pip |npm |print).*[(){}=:;]|\w\([^)]*\)|\w\s*[-+]?=\s*\S|[{}\[\]]\s*,?\s*$")
 _ENTRY = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+\S+(?:\s+\S+){4,}")
 
 
