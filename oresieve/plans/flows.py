@@ -61,7 +61,7 @@ def transparency(spark, sf):
 
 
 SQL_TRANSPARENCY = f"""WITH c AS (SELECT doc_id, count(DISTINCT agent_name) FILTER (agent_name IN ('reader', 'searcher', 'writer', 'verifier')) AS agents FROM {PARSED} GROUP BY 1)
-SELECT doc_id, agents, CASE WHEN agents = 4 THEN 1.0 WHEN agents >= 2 THEN 0.5 ELSE 0.0 END AS score FROM c"""
+SELECT doc_id, agents, CAST(CASE WHEN agents = 4 THEN 1.0 WHEN agents >= 2 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score FROM c"""
 
 
 def log_handoffs(spark, sf):
