@@ -43,8 +43,11 @@ def unexpired(cache: DataFrame, now, ttl_seconds: int, created: str = "created")
     return cache.filter(F.unix_timestamp(now) - F.unix_timestamp(created) <= ttl_seconds)
 
 
-def cached_replies(requests: DataFrame, ttl_ms: int) -> DataFrame:
-    """(key, hit, hits): whether an equal request came within the time to live before; requests: (key, ts), keyed state with time-outs."""
+def cached_replies(requests: DataFrame, ttl_ms: int, late: str = "1 minute") -> DataFrame:
+    """(key, hit, hits): whether an equal request came within the time to live before; requests: (key, ts).
+
+    The state of a key leaves once the watermark has passed its time to live.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -53,16 +56,16 @@ def cached_replies(requests: DataFrame, ttl_ms: int) -> DataFrame:
         last, hits = state.get if state.exists else (None, 0)
         for frame in frames:
             rows = []
-            for t in sorted(int(x.value // 1_000_000) for x in pd.to_datetime(frame["ts"])):
+            for t in sorted(int(x.timestamp() * 1000) for x in pd.to_datetime(frame["ts"])):
                 hit = last is not None and t - last <= ttl_ms
                 hits = hits + 1 if hit else 0
                 last = last if hit else t
                 rows.append((key[0], hit, hits))
             yield pd.DataFrame(rows, columns=["key", "hit", "hits"]).astype({"key": object, "hit": bool, "hits": "int64"})
         state.update((last, hits))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs()) + 1)
 
-    return requests.groupBy("key").applyInPandasWithState(step, "key string, hit boolean, hits long", "last long, hits long", "append", "ProcessingTimeTimeout")
+    return requests.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "key string, hit boolean, hits long", "last long, hits long", "append", "EventTimeTimeout")
 
 
 def convergence(rounds: DataFrame, key: str, order: str, request: str, empties: int = 2, most: int = 3) -> DataFrame:

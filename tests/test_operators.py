@@ -233,3 +233,11 @@ def test_lookups(spark):
     s = lookup.sample_components(spark.createDataFrame([("r", "add", "async function add(a, b = 1) {\n return a; }")], "repo string, func_name string, code string")).first()
     assert s.parameters == ["a", "b"] and s.is_async and s.type == "function" and s.signature == "async function add(a, b = 1)"
     assert round(sum(lookup.AGENT_WEIGHTS.values()), 9) == 1.0 and one(spark, lookup.agent_score({k: F.lit(1.0) for k in lookup.AGENT_WEIGHTS})) == 1.0
+
+
+def test_cached_replies_by_stream(spark, tmp_path):
+    rows = spark.sql("SELECT * FROM VALUES ('a', timestamp'2025-01-01 00:00:00'), ('a', timestamp'2025-01-01 00:00:01'), ('a', timestamp'2025-01-01 00:02:00'), ('b', timestamp'2025-01-01 00:00:00') AS t(key, ts)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = progress.cached_replies(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 60_000)
+    found.writeStream.format("memory").queryName("replies").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("replies").collect()) == [("a", False, 0), ("a", False, 0), ("a", True, 1), ("b", False, 0)]
