@@ -1,14 +1,14 @@
 """Problem 4: credentials embedded in source code.
 
 1. Every text gives its literals: values under names that speak of secrets, values of a credential's own format, logins in URLs and
-   commands, and any token that has letters and digits (the index of the corpus).
+   commands.
 2. Owners (repositories) of each named value are counted over the corpus: a value that many share and that has neither a format
    nor the look of random characters is a placeholder.
-3. What remains is confirmed. The index is joined with the tokens of confirmed secrets, and each file in which one occurs outside
-   the places found so far is scanned again, by an automaton of the secrets that concern it.
+3. What remains is confirmed. All texts are searched for all confirmed secrets: a Bloom filter of a piece of each secret finds the
+   files that may hold one, and these are scanned again by an automaton of the secrets that concern them.
 
-Nothing is broadcast or collected; a secret that a third of all files hold only adds rows to its own group of counts, which are
-combined before the shuffle.
+What is collected and broadcast is the filter, eight bytes a secret and 256 MB at most (a fuller filter lets more files through and
+loses none); a secret that a third of all files hold only adds rows to its own group of counts, which are combined before the shuffle.
 
 Defined results: null and empty text gives nothing; a secret cut into pieces that are joined in code, or put on the line after its
 name, counts at the line where its text starts; rows delivered again count once; a component (id) with other text in another row
@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,10 @@ HINTS = (
 ).split()
 #: Signs that begin many other words: they count inside a longer name only, or after a dash.
 INNER = frozenset(["key", "token", "pw"])
-TOKEN = re.compile(r"(?<![\w+/=-])(?=[\w+/=-]*\d)(?=[\w+/=-]*[A-Za-z])[\w+/=-]{12,}")
+#: Bytes of the pieces by which the corpus is searched for a secret: the longest piece that the secret holds.
+PIECES = (12, 6)
+#: Bits of the filter for each secret, hashes of a piece, most bits (as a power of 2), and bytes that are hashed at once.
+BITS, PROBES, MOST_BITS, CHUNK = 64, 3, 31, 1 << 17
 
 
 def entropy(text: str) -> float:
@@ -261,19 +265,8 @@ def _hints():
     return automaton
 
 
-def tokens_of(text: str | None) -> set[str]:
-    return {m.group(0) for m in TOKEN.finditer(text or "")}
-
-
-def core_token(secret):
-    """The longest token of a secret, by which the index knows it; null if it has none."""
-    found = F.regexp_extract_all(secret, F.lit("(?U)(" + TOKEN.pattern + ")"), F.lit(1))
-    longest = F.aggregate(found, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
-    return F.nullif(longest, F.lit(""))
-
-
 def candidates(components: DataFrame, key: str = "id", owner: str = "repo", language: str = "language", text: str = "source_code") -> DataFrame:
-    """(id, owner, line_no, kind, value, context): the candidates of every text with a hash of their line, and as kind "token" its index."""
+    """(id, owner, line_no, kind, value, context): the candidates of every text with a hash of their line."""
 
     def rule(k, o, lang, source) -> Iterator[tuple]:
         import xxhash
@@ -282,24 +275,25 @@ def candidates(components: DataFrame, key: str = "id", owner: str = "repo", lang
         lines = source.split("\n") if found else []
         for n, kind, value in found:
             yield k, o, n, kind, value, xxhash.xxh3_64_intdigest(lines[n - 1].strip()) - (1 << 63) if kind == "chosen" else None
-        for value in tokens_of(source):
-            yield k, o, 0, "token", value, None
 
     return map_columns(spread(components), [key, owner, language, text], rule, "id string, owner string, line_no int, kind string, value string, context long")
 
 
+def _shared(places: DataFrame, shared_by: int) -> DataFrame:
+    """(value) of those that many owners have, in as many different lines; places: value, owner, context."""
+    lines = places.select("value", "context").distinct().groupBy("value").agg(F.count("*").alias("lines"))
+    owners = places.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
+    return owners.filter(F.col("owners") >= shared_by).join(lines.filter(F.col("lines") >= shared_by), "value").select("value")
+
+
 def confirmed(found: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
-    """found without the index, and without values that many owners share in as many different lines and that have neither format nor randomness.
+    """found without values that many owners share in as many different lines and that have neither format nor randomness.
 
     A line that copies of one file repeat counts once, so a secret in a library that many owners hold is none of theirs.
     """
-    named = found.filter("kind <> 'token'")
-    chosen = named.filter("kind = 'chosen'").select("value", "owner", "context").distinct()
-    lines = chosen.select("value", "context").distinct().groupBy("value").agg(F.count("*").alias("lines"))
-    owners = chosen.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
-    shared = owners.filter(F.col("owners") >= shared_by).join(lines.filter(F.col("lines") >= shared_by), "value").select("value")
-    chosen = named.filter("kind = 'chosen'").join(shared, "value", "left_anti").select(named.columns)
-    return named.filter("kind <> 'chosen'").unionByName(chosen)
+    chosen = found.filter("kind = 'chosen'")
+    chosen = chosen.join(_shared(chosen, shared_by), "value", "left_anti").select(found.columns)
+    return found.filter("kind <> 'chosen'").unionByName(chosen)
 
 
 def _small(df: DataFrame, most: int = 20_000) -> DataFrame:
@@ -307,33 +301,136 @@ def _small(df: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def rescan(components: DataFrame, found: DataFrame, sure: DataFrame, key: str = "id", text: str = "source_code") -> DataFrame:
-    """(id, line_no) of confirmed secrets at further places: by index, then by an automaton in the files that the index names."""
-    secrets = sure.filter("kind <> 'pem' AND length(value) >= 12").select("value").distinct().select(core_token(F.col("value")).alias("token"), F.col("value").alias("secret")).filter("token IS NOT NULL")
-    index = found.filter("kind = 'token'").select("id", F.col("value").alias("token"))
-    places = sure.select("id", F.col("value").alias("secret")).distinct()
-    further = index.join(secrets, "token").select("id", "secret").distinct().join(places, ["id", "secret"], "left_anti")
-    concerned = further.groupBy("id").agg(F.collect_set("secret").alias("secrets"))
+def pieces(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each size (6 or 12) following bytes of data."""
+    wide = data.astype(np.uint64)
+    two = (wide[:-1] << np.uint64(8)) | wide[1:]
+    six = (two[:-4] << np.uint64(32)) | (two[2:-2] << np.uint64(16)) | two[4:]
+    if size == 12:
+        six = (six[:-6] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (six[6:] + np.uint64(0x165667B19E3779F9))
+    six = six * np.uint64(0x9E3779B97F4A7C15)
+    six ^= six >> np.uint64(29)
+    return six * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def anchor(secret: str) -> tuple[int, int] | None:
+    """(size, hash) of the piece of a secret that is least like a word; null where it is too short to tell it from other text."""
+    data = np.frombuffer(secret.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    size = next((n for n in PIECES if n <= len(data)), None)
+    if size is None:
+        return None
+    odd = np.concatenate([[0], np.cumsum((data < 97) | (data > 122))])
+    at = int(np.argmax(odd[size:] - odd[:-size]))
+    return size, int(pieces(data[at : at + size], size).astype(np.int64)[0])
+
+
+def _probe(hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The n-th bit of each hash in a filter."""
+    return (hashes * np.uint64((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[n])) >> np.uint64(64 - bits)
+
+
+def _filter(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """(power of 2 of its bits, bytes) of a Bloom filter."""
+    bits = min(MOST_BITS, max(16, (BITS * max(1, len(hashes)) - 1).bit_length()))
+    table = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for n in range(PROBES):
+        at = _probe(hashes, n, bits)
+        np.bitwise_or.at(table, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return bits, table
+
+
+def _hits(texts: list[str | None], sizes: list[int], bits: int, table: np.ndarray) -> dict[int, set[int]]:
+    """Hashes of pieces that pass the filter, for the texts (by number) that hold any."""
+    coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(c) + 1 for c in coded])
+    data = np.frombuffer(b"\n".join(coded) + b"\n", dtype=np.uint8)
+    found: dict[int, set[int]] = {}
+    for size in sizes:
+        for start in range(0, len(data) - size + 1, CHUNK):
+            hashes = pieces(data[start : start + CHUNK + size - 1], size)
+            at = np.arange(len(hashes))
+            for probe in range(PROBES):
+                bit = _probe(hashes[at], probe, bits)
+                at = at[(table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            for row, key in zip(np.searchsorted(ends, at + start, side="right").tolist(), hashes[at].astype(np.int64).tolist()):
+                found.setdefault(row, set()).add(key)
+    return found
+
+
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] is no part of a longer word; the letter of an escape such as \\n belongs to no word."""
+    word = lambda c: c.isalnum() or c == "_"
+    if start and word(text[start]) and word(text[start - 1]) and not (text[start - 1] in "ntr" and text[start - 2 : start - 1] == "\\"):
+        return False
+    return not (end < len(text) and word(text[end - 1]) and word(text[end]))
+
 
-    def rule(k, source, values) -> Iterator[tuple]:
+def rescan(components: DataFrame, sure: DataFrame, shared_by: int = SHARED_BY, key: str = "id", owner: str = "repo", text: str = "source_code") -> DataFrame:
+    """(id, line_no, secret) of all places of confirmed secrets, in every text.
+
+    A Bloom filter of one piece of each secret passes over all texts; the pieces that it lets through are joined with the secrets, and
+    the texts that remain are searched by an automaton of the secrets that concern them. Secrets of a format or of random characters
+    count anywhere; those that a person chose count where they are no part of a longer word, unless as many owners hold them as make a
+    placeholder. Values that would not do for a password (a login such as root, fewer than six characters) say nothing elsewhere.
+    """
+
+    def known(value) -> Iterator[tuple]:
+        loose = random_looking(value) or FORMATS.search(value) is not None
+        found = anchor(value) if loose or chosen_looking(value) else None
+        if found:
+            yield value, not loose, *found
+
+    session = components.sparkSession
+    secrets = map_columns(sure.filter("kind <> 'pem'").select("value").distinct(), ["value"], known, "secret string, chosen boolean, size int, piece long").persist()
+    told = secrets.select("size", "piece").distinct().toArrow()
+    sizes = sorted(set(told.column("size").to_pylist()))
+    shipped = session.sparkContext.broadcast(_filter(told.column("piece").to_numpy().astype(np.uint64)))
+    schema = "id string, owner string, text string, pieces array<long>"
+    arrow = session.createDataFrame([], schema).schema
+
+    def pass_over(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        wanted = to_arrow_schema(arrow)
+        bits, table = shipped.value
+        for batch in batches:
+            ids, owners, texts = (batch.column(i).to_pylist() for i in range(3))
+            found = _hits(texts, sizes, bits, table)
+            if found:
+                columns = zip(*((ids[n], owners[n], texts[n], sorted(found[n])) for n in sorted(found)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, wanted)], names=wanted.names)
+
+    def rule(k, o, source, values, chosen) -> Iterator[tuple]:
         import ahocorasick
+        import xxhash
 
         automaton = ahocorasick.Automaton()
-        for v in values:
-            automaton.add_word(v, v)
+        for v, c in zip(values, chosen):
+            automaton.add_word(v, (v, c))
         automaton.make_automaton()
-        for end, v in automaton.iter(source or ""):
-            yield k, (source or "").count("\n", 0, end - len(v) + 1) + 1
-
-    texts = components.select(F.col(key).alias("id"), F.col(text).alias("text")).join(_small(concerned), "id")
-    return map_columns(texts, ["id", "text", "secrets"], rule, "id string, line_no int")
+        line, at, lines = 1, 0, source.split("\n")
+        for start, v, c in sorted((end - len(v) + 1, v, c) for end, (v, c) in automaton.iter(source)):
+            if not c or stands_alone(source, start, start + len(v)):
+                line += source.count("\n", at, start)
+                at = start
+                yield k, o, line, v, xxhash.xxh3_64_intdigest(lines[line - 1].strip().encode("utf-8", "surrogatepass")) - (1 << 63) if c else None
+
+    if not sizes:
+        return session.createDataFrame([], "id string, line_no int, secret string")
+    concerned = spread(components).select(F.col(key), F.col(owner), F.col(text)).mapInArrow(pass_over, schema).distinct().persist()
+    met = concerned.select("id", F.explode("pieces").alias("piece")).distinct().join(_small(secrets), "piece").groupBy("id").agg(F.collect_set(F.struct("secret", "chosen")).alias("met"))
+    places = map_columns(concerned.join(met, "id"), ["id", "owner", "text", "met.secret", "met.chosen"], rule, "id string, owner string, line_no int, value string, context long").persist()
+    chosen = places.filter("context IS NOT NULL")
+    kept = chosen.join(_shared(chosen, shared_by), "value", "left_anti").select(places.columns)
+    return places.filter("context IS NULL").unionByName(kept).select("id", "line_no", F.col("value").alias("secret")).distinct()
 
 
 def found_secrets(components: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
     """Distinct (id, line_no) of credentials."""
     found = candidates(components).persist()
     sure = confirmed(found, shared_by)
-    return sure.select("id", "line_no").unionByName(rescan(components, found, sure)).distinct()
+    return sure.select("id", "line_no").unionByName(rescan(components, sure, shared_by).select("id", "line_no")).distinct()
 
 
 def redact(text: str, secrets: list[str]) -> str:

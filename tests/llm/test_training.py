@@ -168,6 +168,25 @@ def test_found_and_redacted(spark):
     assert secrets.found_secrets(spark.createDataFrame([], PARTS)).count() == 0
 
 
+def test_every_place_of_a_secret(spark):
+    secret = "Peg4PaZRDarHt+inKCfhkCIc57BSzBYIMictQrj1"
+    data = [
+        ("a", "r1", "python", f'api_key = "{secret}"\n' + "x = 1\n" * 18 + f'send("{secret}")'), ("b", "r2", "python", f"BUILD_ARG={secret}/x\n"), ("c", "r3", "python", 'db_password = "Sommer2024!"\nuser_passwd = "P@ssw0rd!2024"\n'),
+        ("d", "r4", "python", '# said Sommer2024! once\nlogin("me\\nP@ssw0rd!2024")\n'), ("e", "r5", "python", "NextSommer2024! = 1\n"), ("f", "r6", "yaml", "dsn: postgres://me:root@host.example/db"), ("g", "r7", "python", "# root of all"), ("h", "r8", "python", None),
+    ]
+    found = secrets.found_secrets(clash(spark.createDataFrame(data, PARTS)))
+    assert rows(found, "id", "line_no") == [("a", 1), ("a", 20), ("b", 1), ("c", 1), ("c", 2), ("d", 1), ("d", 2), ("f", 1)]
+
+
+def test_filter_loses_no_piece():
+    random.seed(4)
+    values = ["".join(random.choices("abcXYZ019!é+/=", k=random.choice([6, 7, 11, 12, 13, 40]))) for _ in range(500)]
+    found = [secrets.anchor(v) for v in values]
+    bits, table = secrets._filter(secrets.np.array([p for _, p in found]).astype(secrets.np.uint64))
+    hits = secrets._hits([None, *("y" * random.randint(0, 300000) * (i % 50 == 0) + v + "z" * (i % 9) for i, v in enumerate(values))], [6, 12], bits, table)
+    assert all(p in hits[i + 1] for i, (_, p) in enumerate(found))
+
+
 def test_redaction_keeps_python_valid():
     import ast
 
