@@ -462,10 +462,12 @@ def redact(text: str, secrets: list[str]) -> str:
 
 def redacted(components: DataFrame, shared_by: int = SHARED_BY, key: str = "id", text: str = "source_code") -> DataFrame:
     """(id, secrets, redacted): each text that holds credentials, with their number and without them."""
-    sure = _small(confirmed(candidates(components).persist(), shared_by).groupBy("id").agg(F.collect_set("value").alias("values")))
+    sure = confirmed(candidates(components).persist(), shared_by)
+    values = sure.select("id", "value").unionByName(rescan(components, sure, shared_by, key, text=text).select("id", F.col("secret").alias("value")))
+    held = _small(values.groupBy("id").agg(F.collect_set("value").alias("values")))
 
     def rule(k, source, values) -> Iterator[tuple]:
         yield k, len(values), redact(source or "", sorted(values, key=len, reverse=True))
 
-    texts = components.select(F.col(key).alias("id"), F.col(text).alias("text")).join(sure, "id").distinct()
+    texts = components.select(F.col(key).alias("id"), F.col(text).alias("text")).join(held, "id").distinct()
     return map_columns(texts, ["id", "text", "values"], rule, "id string, secrets int, redacted string")

@@ -178,6 +178,13 @@ def test_every_place_of_a_secret(spark):
     assert rows(found, "id", "line_no") == [("a", 1), ("a", 20), ("b", 1), ("c", 1), ("c", 2), ("d", 1), ("d", 2), ("f", 1)]
 
 
+def test_redaction_of_further_places(spark):
+    secret = "Peg4PaZRDarHt+inKCfhkCIc57BSzBYIMictQrj1"
+    data = [("a", "r1", "python", f'api_key = "{secret}"\n'), ("b", "r2", "python", f"# moved away: {secret}\nx = 1"), ("c", "r3", "python", "x = 1")]
+    found = {r.id: (r.secrets, r.redacted) for r in secrets.redacted(clash(spark.createDataFrame(data, PARTS))).collect()}
+    assert found == {"a": (1, 'api_key = "' + "x" * 40 + '"\n'), "b": (1, "# moved away: " + "x" * 40 + "\nx = 1")}
+
+
 def test_filter_loses_no_piece():
     random.seed(4)
     values = ["".join(random.choices("abcXYZ019!é+/=", k=random.choice([6, 7, 11, 12, 13, 40]))) for _ in range(500)]
