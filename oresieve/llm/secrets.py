@@ -66,7 +66,9 @@ FORMATS = re.compile(
 LOGIN = re.compile(r"[a-zA-Z][\w+.-]*://[^\s/:@\"'`<>]*:([^\s/@\"'`<>]+)@[\w.\[$-]")
 QUERY = re.compile(r"[?&;](?:access_token|api_?key|apikey|auth|auth_token|token|key|secret|client_secret|password|passwd|pwd|sig|signature|code)=([^&\s\"'`<>#]+)", re.I)
 BEARER = re.compile(r"\b(?:Bearer|Basic|Token)\s+([\w+/=.~-]{8,})")
-COMMAND = re.compile(r"(?:--?(?:password|passwd|pass|pwd|token|secret|api-?key|access-key|auth-token)[ =]+|(?<=\s)-p(?=\S{6,})|(?<=\s)-u\s+[\w.-]+:)[\"']?([^\s\"'`]+)")
+COMMAND = re.compile(r"(?:--?(?:password|passwd|pass|pwd|token|secret|api-?key|access-key|auth-token)[ =]+|(?<!\S)-p(?=\S{6,})|(?<!\S)-u\s+[\w.-]+:(?!//))[\"']?([^\s\"'`]+)")
+#: What -p has before it in other commands: ports, paths and the rest of a longer option.
+OTHER_P = re.compile(r"-p[\"']?(?:(?:[\d.]+:)?\d{1,5}(?:-\d{1,5})?(?::\d{1,5}(?:-\d{1,5})?)?(?:/(?:tcp|udp))?$|\.{0,2}/|[a-z][a-z-]*=(?!=|$))")
 NAMED = re.compile(
     r"""(?P<name>[A-Za-z_$][\w$.-]*)["'`]?\s*\]?\s*(?::\s*[\w<>\[\] |]+?\s*=|=>|:=|[:=](?!=)|,)\s*(?P<value>.{0,400})"""
     r"""|(?P<called>[A-Za-z_$][\w$.-]*)["'`]\s*,?\s*$"""
@@ -78,10 +80,10 @@ WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zäöüßç]+|\d+")
 # Signs (in lower case) of a line that may hold a credential.
 HINTS = (
     "pass pwd pw secret cred kennwort contrase clave senha mdp key token bearer basic akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- "
-    "npm_ pypi- sk_live_ sk_test_ rk_live_ rk_test_ sk- xoxa- xoxb- xoxe- xoxo- xoxp- xoxr- xoxs- aiza sg. ya29 eyj -----begin :// --user --pa --pw "
+    "npm_ pypi- sk_live_ sk_test_ rk_live_ rk_test_ sk- xoxa- xoxb- xoxe- xoxo- xoxp- xoxr- xoxs- aiza sg. ya29 eyj -----begin :// --user --pa --pw -p -u "
     "auth= sig= signature= code="
 ).split()
-#: Signs that begin many other words: they count inside a longer name only, or after a dash.
+#: Signs that begin many other words: they count inside a longer name, after a dash, as the key of a query or before the value of a header.
 INNER = frozenset(["key", "token", "pw"])
 #: Bytes of the pieces by which the corpus is searched for a secret: the longest piece that the secret holds.
 PIECES = (12, 6)
@@ -174,10 +176,10 @@ def _of_line(line: str, pending: bool, config: bool) -> tuple[list[tuple[str, st
         value = m.group(1)
         if plausible(value) and (random_looking(value) or (m.group(0).startswith("Basic") and _basic(value))):
             out.append(("header", value))
-    if "--" in joined or " -p" in joined or " -u" in joined:
+    if "-" in joined:
         for m in COMMAND.finditer(joined):
             value = m.group(1)
-            if plausible(value) and len(value) >= 6 and (random_looking(value) or chosen_looking(value) or re.search(r"[a-z][A-Z]|[A-Z][A-Z][a-z]|\d", value)):
+            if not OTHER_P.match(m.group(0)) and plausible(value) and len(value) >= 6 and (random_looking(value) or chosen_looking(value) or re.search(r"[a-z][A-Z]|[A-Z][A-Z][a-z]|\d", value)):
                 out.append(("command", value))
     waits = False
     if pending:
@@ -223,8 +225,12 @@ def secrets_of(text: str | None, language: str | None = None) -> list[tuple[int,
             continue
         start = end - len(sign) + 1
         if sign in INNER:
-            before = low[start - 1] if start else " "
-            if not (before.isalnum() or before in "_-.") and not (sign == "pw" and not low[end + 1 : end + 2].isalpha()):
+            before, after = low[start - 1] if start else " ", text[end + 1 : end + 2]
+            if not (before.isalnum() or before in "_-.") and not (sign == "pw" and not after.islower()) and not (sign == "token" and after.isspace()) and not (before in "?&;" and after == "="):
+                continue
+        elif sign in ("-p", "-u"):
+            after = low[end + 1 : end + 2]
+            if (start and not low[start - 1].isspace()) or after.isspace() != (sign == "-u"):
                 continue
         elif sign == "://":
             stop = low.find("\n", end)
