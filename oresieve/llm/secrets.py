@@ -70,11 +70,18 @@ COMMAND = re.compile(r"(?:--?(?:password|passwd|pass|pwd|token|secret|api-?key|a
 #: What -p has before it in other commands: ports, paths and the rest of a longer option.
 OTHER_P = re.compile(r"-p[\"']?(?:(?:[\d.]+:)?\d{1,5}(?:-\d{1,5})?(?::\d{1,5}(?:-\d{1,5})?)?(?:/(?:tcp|udp))?$|\.{0,2}/|[a-z][a-z-]*=(?!=|$))")
 NAMED = re.compile(
-    r"""(?P<name>[A-Za-z_$][\w$.-]*)["'`]?\s*\]?\s*(?::\s*[\w<>\[\] |]+?\s*=|=>|:=|[:=](?!=)|,)\s*(?P<value>.{0,400})"""
+    r"""(?P<name>[A-Za-z_$][\w$.-]*)["'`]?\s*\]?\s*(?::\s*[\w<>\[\] |]+?\s*=|=>|:=|[:=](?!=)|,)\s*(?P<value>)"""
     r"""|(?P<called>[A-Za-z_$][\w$.-]*)["'`]\s*,?\s*$"""
 )
 CALL_WORDS = re.compile(r"(?:getOrDefault|getenv|get|environ\.get|put|set|setProperty|put_string|env|option|config|header|setHeader)\s*\(", re.I)
 LITERAL = re.compile(r""""((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|`((?:[^`\\]|\\.)*)`""")
+#: Steps of an expression: a literal, a bracket or separator, other text.
+STEP = re.compile(LITERAL.pattern + r"""|(?P<sign>[()\[\]{},;])|[^"'`()\[\]{},;]+|.""")
+#: Text up to a literal that is open, and text that nothing divides.
+CLOSED = re.compile(r"""[^"'`]*(?:(?:""" + LITERAL.pattern + r""")[^"'`]*)*""")
+UNBROKEN = re.compile(r"""[^\s,;&"'`}]*""")
+#: Signs of a value that are looked at in any case; longer ones are taken whole, once from left to right.
+FAR = 400
 JOINED = re.compile(r"""(["'`])\s*\+\s*(["'`])""")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zäöüßç]+|\d+")
 # Signs (in lower case) of a line that may hold a credential.
@@ -158,6 +165,37 @@ def _basic(text: str) -> bool:
         return False
 
 
+def _value_end(line: str, start: int, config: bool, known: list[int]) -> int:
+    """Where the text ends that may belong to the value at start.
+
+    In long lines a value of code ends with its expression, one of configuration with the line. Names inside such a value have theirs
+    to the end of its literal or unbroken text. known: where values that were taken so end, so that none is taken again and again.
+    """
+    near = start + FAR
+    if near >= len(line):
+        return len(line)
+    if start < known[0]:
+        opened = CLOSED.match(line, start, near).end()
+        literal = LITERAL.match(line, opened) if opened < near else None
+        end = literal.end() if literal else UNBROKEN.match(line, near).end() if config and opened == near else near
+        if end <= known[1]:
+            return near
+        known[1] = end
+        return end
+    end, depth = len(line), 0
+    for m in STEP.finditer(line, start) if not config else ():
+        sign = m.group("sign")
+        if sign and sign in "([{":
+            depth += 1
+        elif sign and (depth == 0 or sign in ")]}"):
+            depth -= 1
+            if depth < 0:
+                end = m.start()
+                break
+    known[0] = end
+    return end
+
+
 def _of_line(line: str, pending: bool, config: bool) -> tuple[list[tuple[str, str]], bool]:
     """[(kind, secret)] of a line, and whether its last name still waits for a value on the next one."""
     joined = JOINED.sub(lambda m: "" if m.group(1) == m.group(2) else m.group(0), line)
@@ -185,6 +223,7 @@ def _of_line(line: str, pending: bool, config: bool) -> tuple[list[tuple[str, st
     if pending:
         raw, literal = _named_value(joined, config and not re.match(r"""^\s*["']""", joined))
         out += _judge(raw, literal)
+    known = [0, 0]
     for m in re.finditer(r"[A-Za-z_$][\w$.-]*", joined):
         if not speaks_of_secret(m.group(0)):
             continue
@@ -194,7 +233,7 @@ def _of_line(line: str, pending: bool, config: bool) -> tuple[list[tuple[str, st
         if n.group("called"):
             waits = True
             continue
-        raw = n.group("value")
+        raw = joined[n.start("value") : _value_end(joined, n.start("value"), config, known)]
         if re.match(r"^\s*(?:\\|[|>][+-]?)?\s*$", raw):
             waits = not config or bool(raw.strip())
             continue

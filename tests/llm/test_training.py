@@ -170,6 +170,18 @@ def test_other_options_are_no_logins(line):
     assert secrets.secrets_of(line) == []
 
 
+def test_long_values_are_taken_whole():
+    random.seed(5)
+    key = "".join(random.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=3000))
+    rest = "".join(f", a{i}('b{i}')" for i in range(200))
+    for text, language in ((f'service_key = "{key}"', "python"), (f"f(service_key='{key}'{rest})", "javascript"), (f"service_key: {key}", "yaml"), (f'p("service_key", getOrDefault("{"n" * 500}", "{key}")){rest}', "java")):
+        values = [v for _, _, v in secrets.secrets_of(text, language)]
+        assert values == [key], text[:60]
+        assert secrets.redact(text, values) == text.replace(key, "x" * 3000)
+    for text, language in ((f"credentials = {{ a: 'b', service_key: '{key}'{rest} }}", "javascript"), (f"db_password: x, service_key: {key}, c: d", "yaml")):
+        assert any(v.startswith(key) for _, _, v in secrets.secrets_of(text, language)), text[:60]
+
+
 def test_found_and_redacted(spark):
     secret = "Peg4PaZRDarHt+inKCfhkCIc57BSzBYIMictQrj1"
     data = [
