@@ -157,13 +157,15 @@ def declines(response: str) -> tuple[bool, bool]:
     says = lambda s: bool(DECLINES.search(s) and SPEAKER.search(s))
     start = says(parts[0])
     first = start or (len(parts) > 1 and len(_WORD.findall(parts[0])) <= 4 and says(parts[1]))
-    if len(response) > 1500 or _TAG_LINE.search(response):
+    if _TAG_LINE.search(response):
         return first, False
-    rest = parts[(0 if start else 1) :]
-    sizes = [len(_WORD.findall(s)) for s in rest]
-    if not first:
-        return False, sum(sizes) <= 24
-    return True, sum(n for s, n in zip(rest, sizes) if not says(s)) <= 24
+    told = 0
+    for s in parts[(0 if start else 1) :]:
+        if not (first and says(s)):
+            told += len(_WORD.findall(s))
+            if told > 24:
+                return first, False
+    return first, True
 
 
 def opening(response: str, name: str | None) -> str:

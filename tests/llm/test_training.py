@@ -253,6 +253,14 @@ def test_defects(spark):
     assert pairs.defective(spark.createDataFrame([], PAIRS)).count() == 0
 
 
+def test_long_refusals():
+    no = "I'm sorry, but I can't help with documenting this code."
+    for text in (" ".join([no] * 60), no + " " * 3000, no[:-1] + " and its many parts" * 100 + "."):
+        assert len(text) > 1500 and pairs.declines(text) == (True, True)
+    assert pairs.declines(no + " It sorts the rows by their date and keeps the order." * 60) == (True, False)
+    assert pairs.declines("It sorts the rows by their date and keeps the order. " * 60) == (False, False)
+
+
 def test_clusters_follow_chains_and_lose_no_link(spark):
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(words[i : i + 30]) for i in range(6)] + ["quite other words stand in this one here", ""]
