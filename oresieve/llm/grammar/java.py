@@ -14,7 +14,7 @@ _CAN_STAND = frozenset(["assign", "call", "new", "step"])
 
 class Java:
     def __init__(self, t: Tokens):
-        self.k, self.v, self.m, self.p, self.i, self.depth = t.k, t.v, t.m, t.p, 0, 0
+        self.k, self.v, self.m, self.p, self.i = t.k, t.v, t.m, t.p, 0
 
     def want(self, kind: str) -> None:
         if self.k[self.i] != kind:
@@ -25,13 +25,13 @@ class Java:
         return self.k[self.i] == "id" and self.v[self.i] == text
 
     def attempt(self, rule) -> bool:
-        at, depth = self.i, self.depth
+        at = self.i
         try:
             if rule() is not False:
                 return True
         except Bad:
             pass
-        self.i, self.depth = at, depth
+        self.i = at
         return False
 
     # -- declarations
@@ -416,9 +416,6 @@ class Java:
         self.statement()
 
     def statement(self) -> None:
-        self.depth += 1
-        if self.depth > 150:
-            raise Bad("nesting")
         k = self.k
         kind = k[self.i]
         if kind == "{":
@@ -426,12 +423,16 @@ class Java:
         elif kind == ";":
             self.i += 1
         elif kind == "if":
-            self.i += 1
-            self.paren()
-            self.statement()
-            if k[self.i] == "else":
+            while True:  # a chain of else if is one level, however long
                 self.i += 1
+                self.paren()
                 self.statement()
+                if k[self.i] != "else":
+                    break
+                self.i += 1
+                if k[self.i] != "if":
+                    self.statement()
+                    break
         elif kind == "while":
             self.i += 1
             self.paren()
@@ -485,7 +486,6 @@ class Java:
             if self.expression() not in _CAN_STAND:
                 raise Bad(self.i)
             self.want(";")
-        self.depth -= 1
 
     def paren(self) -> None:
         self.want("(")
@@ -602,11 +602,7 @@ class Java:
 
     # -- expressions
     def expression(self) -> str:
-        self.depth += 1
-        if self.depth > 150:
-            raise Bad("nesting")
         what = self._expression()
-        self.depth -= 1
         return what
 
     def _expression(self) -> str:

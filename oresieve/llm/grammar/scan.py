@@ -69,10 +69,8 @@ def _operand_next(t: Tokens, opened: list) -> bool:
     return True
 
 
-def scan_js(text: str, pos: int = 0, inner: bool = False, jsx: bool = False, ts: bool = False, depth: int = 0) -> Tokens:
+def scan_js(text: str, pos: int = 0, inner: bool = False, jsx: bool = False, ts: bool = False) -> Tokens:
     """Tokens from pos; an inner scan (of a template or JSX hole) ends at the bracket that closes the hole."""
-    if depth > 60:
-        raise Bad("nesting")
     t, opened = Tokens(), []
     k, v, n, p, m = t.k, t.v, t.n, t.p, t.m
     match, broke = _JS.match, _BREAK.search
@@ -105,7 +103,7 @@ def scan_js(text: str, pos: int = 0, inner: bool = False, jsx: bool = False, ts:
                     raise Bad(start)
                 m[at], m[len(k)] = len(k), at
             elif word == "<" and jsx and _operand_next(t, opened) and not (ts and _GENERIC_ARROW.match(text, start)):
-                kind, end, t.sub[len(k)] = "jsx", *_jsx(text, start, ts, depth)
+                kind, end, t.sub[len(k)] = "jsx", *_jsx(text, start, ts)
         elif which == 3:
             kind = "str"
         elif which == 4:
@@ -123,7 +121,7 @@ def scan_js(text: str, pos: int = 0, inner: bool = False, jsx: bool = False, ts:
                 if text.startswith("=", end):
                     kind, end = "/=", end + 1
         else:
-            kind, end, t.sub[len(k)] = "tpl", *_template(text, end, jsx, ts, depth)
+            kind, end, t.sub[len(k)] = "tpl", *_template(text, end, jsx, ts)
         k.append(kind), v.append(word), n.append(line), p.append(start)
         pos = end
     if opened:
@@ -131,7 +129,7 @@ def scan_js(text: str, pos: int = 0, inner: bool = False, jsx: bool = False, ts:
     return t
 
 
-def _template(text, pos, jsx, ts, depth):
+def _template(text, pos, jsx, ts):
     holes = []
     while True:
         pos = _TPL_RUN.match(text, pos).end()
@@ -139,14 +137,12 @@ def _template(text, pos, jsx, ts, depth):
             return pos + 1, holes
         if not text.startswith("${", pos):
             raise Bad(pos)
-        holes.append(scan_js(text, pos + 2, True, jsx, ts, depth + 1))
+        holes.append(scan_js(text, pos + 2, True, jsx, ts))
         pos = holes[-1].end
 
 
-def _jsx(text, pos, ts, depth):
+def _jsx(text, pos, ts):
     """End and holes of the element that starts at pos."""
-    if depth > 60:
-        raise Bad("nesting")
     holes, pos = [], _SPACES.match(text, pos + 1).end()
     name = None
     if not text.startswith(">", pos):
@@ -164,12 +160,12 @@ def _jsx(text, pos, ts, depth):
             if g.group(3):
                 break
             if g.group(2):
-                holes.append(scan_js(text, pos, True, True, ts, depth + 1))
+                holes.append(scan_js(text, pos, True, True, ts))
                 pos = holes[-1].end
             elif g.group(0).endswith("="):
                 pos = _SPACES.match(text, pos).end()
                 if text.startswith("{", pos):
-                    holes.append(scan_js(text, pos + 1, True, True, ts, depth + 1))
+                    holes.append(scan_js(text, pos + 1, True, True, ts))
                     pos = holes[-1].end
                 elif text[pos : pos + 1] in ("'", '"'):
                     pos = text.find(text[pos], pos + 1) + 1
@@ -182,7 +178,7 @@ def _jsx(text, pos, ts, depth):
     while True:
         pos = _JSX_TEXT.match(text, pos).end()
         if text.startswith("{", pos):
-            holes.append(scan_js(text, pos + 1, True, True, ts, depth + 1))
+            holes.append(scan_js(text, pos + 1, True, True, ts))
             pos = holes[-1].end
         elif text.startswith("</", pos):
             pos = _SPACES.match(text, pos + 2).end()
@@ -194,7 +190,7 @@ def _jsx(text, pos, ts, depth):
                 raise Bad(pos)
             return pos + 1, holes
         elif text.startswith("<", pos):
-            pos, more = _jsx(text, pos, ts, depth + 1)
+            pos, more = _jsx(text, pos, ts)
             holes += more
         else:
             raise Bad(pos)

@@ -21,7 +21,7 @@ _NAME = frozenset(["id"]) | JS_KEYWORDS
 
 class Script:
     def __init__(self, t: Tokens, ts: bool):
-        self.ts, self.i, self.funcs, self.is_async, self.is_gen, self.ambient, self.depth = ts, 0, 0, True, False, False, 0
+        self.ts, self.i, self.funcs, self.is_async, self.is_gen, self.ambient = ts, 0, 0, True, False, False
         self.use(t)
 
     def use(self, t: Tokens) -> None:
@@ -44,13 +44,13 @@ class Script:
             raise Bad(self.i)
 
     def attempt(self, rule) -> bool:
-        at, funcs, a, g, d = self.i, self.funcs, self.is_async, self.is_gen, self.depth
+        at, funcs, a, g = self.i, self.funcs, self.is_async, self.is_gen
         try:
             if rule() is not False:
                 return True
         except Bad:
             pass
-        self.i, self.funcs, self.is_async, self.is_gen, self.depth = at, funcs, a, g, d
+        self.i, self.funcs, self.is_async, self.is_gen = at, funcs, a, g
         return False
 
     def holes(self) -> None:
@@ -84,16 +84,12 @@ class Script:
         self.i += 1
 
     def statement(self) -> None:
-        self.depth += 1
-        if self.depth > 150:
-            raise Bad("nesting")
         rule = _STATEMENTS.get(self.k[self.i])
         if rule is None:
             self.expression()
             self.semi()
         else:
             rule(self)
-        self.depth -= 1
 
     def s_empty(self) -> None:
         self.i += 1
@@ -176,12 +172,16 @@ class Script:
             raise Bad(self.i)
 
     def s_if(self) -> None:
-        self.i += 1
-        self.paren()
-        self.statement()
-        if self.k[self.i] == "else":
+        while True:  # a chain of else if is one level, however long
             self.i += 1
+            self.paren()
             self.statement()
+            if self.k[self.i] != "else":
+                break
+            self.i += 1
+            if self.k[self.i] != "if":
+                self.statement()
+                break
 
     def paren(self) -> None:
         self.want("(")
@@ -670,11 +670,7 @@ class Script:
         return what
 
     def assign(self, head: bool = False) -> str:
-        self.depth += 1
-        if self.depth > 150:
-            raise Bad("nesting")
         what = self._assign(head)
-        self.depth -= 1
         return what
 
     def _assign(self, head: bool) -> str:
@@ -1104,9 +1100,6 @@ class Script:
         self.type()
 
     def type(self) -> None:
-        self.depth += 1
-        if self.depth > 150:
-            raise Bad("nesting")
         kind = self.k[self.i]
         if kind == "<" or kind == "new" or (self.word("abstract") and self.k[self.i + 1] == "new") or (kind == "(" and self.k[self.m[self.i] + 1] == "=>"):
             self.i += kind == "id"
@@ -1125,7 +1118,6 @@ class Script:
                     self.type()
                     self.want(":")
                     self.type()
-        self.depth -= 1
 
     def union(self) -> None:
         if self.k[self.i] in ("|", "&"):

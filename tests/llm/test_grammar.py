@@ -5,6 +5,7 @@ import pytest
 from oresieve.llm.grammar.java import parse_java
 from oresieve.llm.grammar.scan import Bad
 from oresieve.llm.grammar.script import parse_script
+from oresieve.llm.unparsable import verdict
 
 JS_GOOD = [
     "", "#!/usr/bin/env node\nlet a = 1", "a\n++b", "for (const [k, v] of m) continue", "for await (const x of y()) {}", "for (let i = 0, n = 2; i < n; i++);", "for (x in o) ;", "x = a ? (b) : c => d", "async (x) => { await x }",
@@ -95,3 +96,25 @@ def test_deep_nesting_ends():
             parse_script(text)
         except (Bad, RecursionError):
             pass
+
+
+N = 10_000
+DEEP = {
+    "a.js": ["x = " + "[" * N + "]" * N, "f(" * N + "1" + ")" * N, "x = " + "a ? 1 : " * N + "2", "if (a) b(); else " * N + "c()", "{" * N + "}" * N, "x = `" + "${`" * 200 + "`}" * 200 + "`"],
+    "a.ts": ["x = " + "(" * N + "1" + ")" * N, "let x: " + "A<" * N + "B" + ">" * N],
+    "a.jsx": ["x = " + "<a>" * N + "</a>" * N],
+    "A.java": ["class A { void f() { %s } }" % body for body in ("x = " + "(" * N + "1" + ")" * N + ";", "if (a) b(); else " * N + "c();", "x = " + "a ? 1 : " * N + "2;", "{" * N + "}" * N)],
+    "a.py": ["if a: b\n" + "elif a: b\n" * 5000],
+}
+
+
+@pytest.mark.parametrize("path,text", [(p, t) for p, texts in DEEP.items() for t in texts], ids=lambda x: x if len(x) < 8 else "text")
+def test_nesting_is_no_fault(path, text):
+    assert verdict(path, text)[1] == "valid"
+    assert verdict(path, text + ")]}")[1] == "corrupt"
+
+
+def test_depth_beyond_a_parser_is_undecided():
+    assert verdict("a.py", "x = " + "(" * 250 + "1" + ")" * 250)[1] == "undecided"
+    assert verdict("a.py", "x = " + "-" * 100_000 + "1")[1] == "undecided"
+    assert verdict("a.py", "x = " + "(" * 250 + "1")[1] == "corrupt"
