@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,13 +51,24 @@ def map_columns(df: DataFrame, columns: list[str], rule: Callable[..., Iterator[
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by checkpoint() in the shared folder that the session names; one of its own only where none is set."""
+    """df cut from its lineage by checkpoint() in the shared folder that the session names; on one machine also in one of its own.
+
+    A cluster without a shared folder is an error: what executors write on their own disks nobody else can read.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            import tempfile
-
+            if not context.master.startswith("local"):
+                raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df persisted and filled, so that branches that run at the same time read it and none computes it again."""
+    df = df.persist()
+    df.count()
+    return df

@@ -1,12 +1,14 @@
 """Problem 9: pages of keywords, links, tags or product lines instead of sentences.
 
-A text falls into blocks: runs of neighbouring lines and sentences of one kind. Links, host names, tags and prices are masked to one
-sign each, and a block's compression ratio is the compressed size of the masked block over its length. The corpus gives the usual
-ratio of running text for each language and length; a block far below it is redundant, and if it also lacks sentences (few ends of
-sentences, few function words) it counts as stuffing. A page is found when more than half of its characters are stuffing.
-
-Defined results: null, empty and blank text is not found; whole texts count, in blocks of at most BLOCK characters; language spellings
-are reduced to their first two letters, unknown ones share a baseline.
+A text falls into blocks of about BLOCK characters that end where a line or sentence ends; code and logs stand apart. Links, host names,
+tags and prices are masked to one sign each, and a block's compression ratio is the compressed size of the masked block over its length.
+The corpus gives the usual ratio of blocks of each length and language. A block far below it (EXTREME) is stuffing, however its phrases
+are framed: keywords inside sentences as well. A block less far below it (REDUNDANT) is stuffing as far as its parts without sentences
+go: lines of links, tags, products or words with few ends of sentences and few function words, measured by themselves. A page is found
+when more than half of its characters are stuffing.
+
+Defined results: null, empty and blank text is not found; whole texts count; language spellings are reduced to their first two letters,
+unknown ones share a baseline.
 """
 
 from __future__ import annotations
@@ -19,11 +21,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oresieve.llm.common import map_columns, spread
+from oresieve.llm.common import held, map_columns, spread
 
-BLOCK = 4096
-#: Share of the usual ratio under which a block is redundant, and what still passes for sentences.
-REDUNDANT, FUNCTION_WORDS, ENDS = 0.72, 0.12, 2.5
+#: Characters after which a block ends with its line or sentence; from EVIDENCE on it is long enough to be judged by its ratio alone.
+BLOCK, EVIDENCE = 1000, 500
+#: Kinds of units that stand apart.
+APART = ("code", "log")
+#: Shares of the usual ratio under which a block is stuffing by itself, and under which its bare parts may be: under SHORT signs, and longer.
+EXTREME, REDUNDANT, SHORT = 0.46, (0.72, 0.85), 200
+#: What still passes for sentences: function words, ends of sentences for each hundred words.
+FUNCTION_WORDS, ENDS = 0.12, 2.5
 
 # Frequent function words of the languages that are told apart.
 FUNCTION = {
@@ -56,34 +63,43 @@ def _kind(unit: str) -> str:
     if _LOG.match(unit):
         return "log"
     links = sum(len(m.group(0)) for m in _LINK.finditer(unit)) if _MAYBE.search(unit) else 0
-    rest = _WORD.findall(_LINK.sub(" ", unit) if links else unit)
+    rest = _WORD.findall((_LINK.sub(" ", unit) if links else unit).lower())
     if links >= 0.5 * len(unit) or (links and len(rest) < 4):
         return "bare"
-    known = sum(w in _KNOWN or w.lower() in _KNOWN for w in rest)
-    if len(rest) >= 4 and known >= FUNCTION_WORDS * len(rest) and not _PRICE.search(unit):
-        return "text"
+    known = len([w for w in rest if w in _KNOWN])
+    if len(rest) >= 4 and known >= FUNCTION_WORDS * len(rest) and not (_DIGITS.search(unit) and _PRICE.search(unit)):
+        return "entry" if links else "text"
     if _CODE.search(unit) and not links:
         return "code"
     return "bare"
 
 
-def blocks(text: str) -> list[tuple[str, str]]:
-    """(kind, block): runs of one kind, bare or of sentences, code or logs."""
-    out: list[tuple[str, list[str]]] = []
+def units(text: str) -> Iterator[tuple[str, str]]:
+    """(kind, unit): lines, cut at ends of sentences and where they exceed BLOCK; kind is bare, text, entry (a link that a sentence describes), code or log."""
     fence = False
     for line in text.split("\n"):
         if line.lstrip().startswith(("```", "~~~")):
             fence = not fence
             continue
         for unit in _SENTENCES.split(line):
-            if not unit.strip():
-                continue
-            kind = "code" if fence else _kind(unit.strip())
-            if out and out[-1][0] == kind:
-                out[-1][1].append(unit)
-            else:
-                out.append((kind, [unit]))
-    return [(kind, "\n".join(units)) for kind, units in out]
+            if unit.strip():
+                kind = "code" if fence else _kind(unit.strip())
+                for start in range(0, len(unit), BLOCK):
+                    yield kind, unit[start : start + BLOCK]
+
+
+def blocks(text: str) -> Iterator[list[tuple[str, str]]]:
+    """Runs of neighbouring units: of sentences and bare ones together, of code or logs by themselves."""
+    run: list[tuple[str, str]] = []
+    size = 0
+    for kind, unit in units(text):
+        if run and (size >= BLOCK or (run[0][0] in APART) != (kind in APART)):
+            yield run
+            run, size = [], 0
+        run.append((kind, unit))
+        size += len(unit) + 1
+    if run:
+        yield run
 
 
 def unlinked(block: str, sign: str) -> str:
@@ -101,22 +117,31 @@ def ratio(block: str) -> float:
     return max(0, len(zlib.compress(masked(block).encode("utf-8", "replace"), 6)) - 10) / len(block)
 
 
-def measures(text: str) -> Iterator[tuple[str, int, float, float, float]]:
-    """(kind, characters, ratio, ends of sentences and function words for each hundred words) of blocks and of their pieces of BLOCK."""
-    for kind, whole in blocks(text):
-        for start in range(0, len(whole), BLOCK):
-            block = whole[start : start + BLOCK]
-            if not block.strip():
-                continue
-            if kind == "text":  # only its ratio counts, for the baselines
-                yield kind, len(block), ratio(block), 100.0, 1.0
-                continue
-            if kind != "bare":
-                yield kind, len(block), 1.0, 100.0, 1.0
-                continue
-            words = _WORD.findall(unlinked(block, " ").lower())
-            n = max(1, len(words))
-            yield kind, len(block), ratio(block), 100.0 * len(_END.findall(unlinked(block, "~ "))) / n, sum(w in _KNOWN for w in words) / n
+def octave(chars: int) -> int:
+    """Half octaves of a length."""
+    return int(2 * math.log2(chars + 1))
+
+
+def measures(text: str) -> Iterator[tuple[int, int, float, int, int, float, float, float]]:
+    """Of each block (characters, size, ratio) and of its bare parts (characters, size, ratio, ends a hundred words, function words).
+
+    Code, logs and lists whose entries are described have the ratio 9, which is never redundant.
+    """
+    for run in blocks(text):
+        whole = "\n".join(unit for _, unit in run)
+        bare = [unit for kind, unit in run if kind == "bare"]
+        if run[0][0] in APART or 2 * sum(len(unit) for kind, unit in run if kind == "entry") > len(whole):
+            yield len(whole), octave(len(whole)), 9.0, 0, 0, 9.0, 100.0, 1.0
+            continue
+        share = ratio(whole)
+        if not bare:
+            yield len(whole), octave(len(whole)), share, 0, 0, 9.0, 100.0, 1.0
+            continue
+        part = "\n".join(bare)
+        words = _WORD.findall(unlinked(part, " ").lower())
+        n = max(1, len(words))
+        ends = 100.0 * len(_END.findall(unlinked(part, "~ "))) / n
+        yield len(whole), octave(len(whole)), share, len(part), octave(len(part)), share if len(bare) == len(run) else ratio(part), ends, sum(w in _KNOWN for w in words) / n
 
 
 def language(column):
@@ -124,34 +149,40 @@ def language(column):
     return F.when(short.isin(*FUNCTION), short).otherwise("un")
 
 
+FOUND = "doc_id long, lang string, chars int, size int, ratio double, bare int, bare_size int, bare_ratio double, ends double, known double"
+
+
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, lang, kind, chars, size, ratio, ends, known): a row a block; size is the octave of its length."""
+    """A row a block (FOUND)."""
 
     def rule(k, code, value) -> Iterator[tuple]:
-        for kind, chars, share, ends, known in measures(value):
-            yield k, code, kind, chars, min(12, int(math.log2(chars + 1))), share, ends, known
+        for row in measures(value):
+            yield k, code, *row
 
     some = docs.filter(F.length(F.trim(text)) > 0).select(F.col(key).alias("doc_id"), language(F.col(lang)).alias("lang"), F.col(text).alias("text"))
-    return map_columns(spread(some), ["doc_id", "lang", "text"], rule, "doc_id long, lang string, kind string, chars int, size int, ratio double, ends double, known double")
+    return map_columns(spread(some), ["doc_id", "lang", "text"], rule, FOUND)
 
 
 def baselines(found: DataFrame) -> DataFrame:
-    """(size, lang, usual): the median ratio of running text; at most 13 lengths by 6 languages."""
-    text = found.filter("kind = 'text'")
+    """(size, lang, usual): the median ratio of blocks that are sentences for the most part; at most some 24 lengths by 6 languages."""
+    text = found.filter("ratio < 9 AND 2 * bare < chars")
     return text.groupBy("size", "lang").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count("*").alias("blocks")).filter("blocks >= 5").drop("blocks")
 
 
 def stuffed_share(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, chars, stuffed, share) of every document that has text."""
-    found = measured(docs, key, text, lang).persist()
+    found = held(measured(docs, key, text, lang))
+    # all sides are broadcast: their bound is a row a length and language
     base = baselines(found)
-    overall = base.groupBy("size").agg(F.avg("usual").alias("any"))
-    # both sides are broadcast: their bound is 13 x 6 and 13 rows
-    known = found.join(F.broadcast(base), ["size", "lang"], "left").join(F.broadcast(overall), "size", "left")
-    usual = F.coalesce("usual", "any", F.lit(0.6))
-    stuffing = (F.col("kind") == "bare") & (F.col("ends") < ENDS) & (F.col("known") < FUNCTION_WORDS + 0.08) & (F.col("ratio") < REDUNDANT * usual)
-    sums = known.groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.sum(F.when(stuffing, F.col("chars")).otherwise(0)).alias("stuffed"))
-    return sums.withColumn("share", F.col("stuffed") / F.col("chars"))
+    usual = {x: F.coalesce(f"{x}_usual", f"{x}_any", F.lit(0.6)) for x in ("whole", "part")}
+    for name, size in (("whole", "size"), ("part", "bare_size")):
+        one = base.select(F.col("size").alias(size), "lang", F.col("usual").alias(f"{name}_usual"))
+        every = base.groupBy(F.col("size").alias(size)).agg(F.avg("usual").alias(f"{name}_any"))
+        found = found.join(F.broadcast(one), [size, "lang"], "left").join(F.broadcast(every), size, "left")
+    extreme = (F.col("ratio") < EXTREME * usual["whole"]) & (F.col("chars") >= EVIDENCE)
+    bare = (F.col("ends") < ENDS) & (F.col("known") < FUNCTION_WORDS + 0.08) & (F.col("bare_ratio") < F.when(F.col("bare") < SHORT, REDUNDANT[0]).otherwise(REDUNDANT[1]) * usual["part"])
+    stuffing = F.when(extreme, F.col("chars")).when(bare, F.col("bare")).otherwise(0)
+    return found.groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.sum(stuffing).alias("stuffed")).withColumn("share", F.col("stuffed") / F.col("chars"))
 
 
 def stuffed(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -358,9 +358,12 @@ def test_stuffed(spark):
         (100, "best lamp 2025, cheap lamp, lamp sale, " * 30, "en"), (101, "\n".join(f"https://a{i}.example/x?id={i}" for i in range(40)), None), (102, "\n".join(f"- [part {i}](https://a.example/{i}) describes how the part is read and what the caller has to do with it." for i in range(20)), "en"),
         (103, "\n".join(f"Lamp Set {i}.99 EUR new" for i in range(40)), "en"), (104, "\n".join(f"2025-01-01 00:00:{i:02d} - agent.reader - INFO - part {i}" for i in range(40)), "en"), (105, None, "en"), (106, "", None), (107, "   ", "xx"), (108, prose + "lamp sale " * 20, "en"), (109, prose + "lamp sale " * 200, "EN-x"),
         (110, "function f(a) {\n  return a + 1;\n}\n" * 30, "en"), (111, "#lamp #lampsale #lamp2025 #lampdeal " * 30, "de"),
+        (112, "Looking for cheap lamp? Lamp sale here! If you want lamp sale, our best lamp is the cheap lamp. Cheap lamp and lamp sale with best lamp. " * 12, "en"),
+        (113, "Читатель загружает следующую часть книги и хранит её, пока не попросят другую. Старые записи удаляются в полночь, а новые ждут своей очереди. Ошибка в дате не мешает расчёту суммы.", "ru"),
+        (114, "帳簿の次の部分を読み込み、呼び出し側が別の部分を求めるまで保持します。古い記録は夜中に消され、新しい記録は順番を待ちます。", "ja"), (115, "    deep indent\n\n\n\nend", "pt"), (116, "; ".join(["best lamp"] * 300), "en"),
     ]
     found = spam.stuffed(clash(spark.createDataFrame(data, "doc_id long, text string, lang string")))
-    assert [r[0] for r in rows(found, "doc_id")] == [100, 101, 103, 109, 111]
+    assert [r[0] for r in rows(found, "doc_id")] == [100, 101, 103, 109, 111, 112, 116]
     assert spam.stuffed(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
