@@ -10,11 +10,11 @@ gets equal rules in whatever file it stands. The rules of the last round go into
 whose tokens stand in rules of other repositories is a copy. Counts are combined before the shuffle, and what is sent is a hash and a
 size, never text, so a library that a third of all repositories hold is one hot key of small rows.
 
-What a file says of itself at its top (that a tool wrote it, or that it belongs to a library), and folders and names that tools use,
-count as well: the grammar cannot know it of a file with one function.
+Of a file that none of these judges (one function from a generator, a library that nobody else holds), what it says of itself at its
+top or foot and the folders and names that tools use decide; the evidence column tells by what a file was found.
 
 Defined results: null and empty text is hand-written; damaged files are judged by what is there; rows delivered again count once; a
-file that only one repository holds is no copy, unless it says so.
+file that only one repository holds is no copy, unless it says so, and fewer than COPY tokens show no copy.
 """
 
 from __future__ import annotations
@@ -33,13 +33,15 @@ from oresieve.llm.common import LANGUAGES, map_columns, spread
 
 #: Share of a file's tokens in one template, its least size and number of uses.
 TEMPLATE, TEMPLATE_SIZE, TEMPLATE_USES = 0.6, 8, 4
-#: Share of a file's signs in literals, and bits a sign from which on they count as incompressible.
-LITERALS, BITS = 0.72, 2.6
+#: Share of a file's signs in literals, bits a sign from which on they count as incompressible, and signs from which on that shows.
+LITERALS, BITS, BLOB = 0.72, 2.6, 400
 #: Share of a file in long lines, length of a long line, and share of blanks that a person would exceed.
 LONG_LINES, LONG, BLANKS = 0.6, 200, 0.09
-#: Share of tokens in rules of other repositories.
-SHARED = 0.5
+#: Share of tokens in rules of other repositories, and tokens of a file from which on it can be a copy.
+SHARED, COPY = 0.5, 40
 ROUNDS = 4
+#: A rule with more than this share of all rows is hot: there are no more than 1 / HOT of them.
+HOT = 1e-4
 
 _TOKEN = re.compile(
     r"//[^\n]*|/\*[\s\S]*?\*/|(?<![\w)\]'\"])#[^\n]*|\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|([^\W\d][\w$]*|\$[\w$]*)|(\d[\w.]*)|(\S)"
@@ -59,7 +61,7 @@ GENERATED_SAYS = re.compile(
     r"\bnão (?:editar?|edite|modificar)\b|\bgénéré (?:par|automatiquement|à partir)\b|\bne pas (?:modifier|éditer)\b|自動生成|自动生成|编辑不要|请勿",
     re.I,
 )
-GENERATED_MARK = re.compile(r"^[\s\S]{0,400}?(?:__generated(?:_by)?__\s*=|\b__generatedBy\s*=|@(?:javax?\.annotation\.(?:processing\.)?)?Generated\s*\()", re.I)
+GENERATED_MARK = re.compile(r"^[^\n'\"`#*]*?(?:__generated(?:_by)?__\s*=|\b__generatedBy\s*=|@(?:javax?\.annotation\.(?:processing\.)?)?Generated\s*\()", re.I | re.M)
 SPEAKS_ABOUT = re.compile(r"['\"‘“`][^'\"\n]*(?:generated|edit|modify)[^'\"\n]*['\"’”`]|\b(?:below|writer|emits?|puts?|adds?|prints?|when|if|whether|how)\b[^\n]*\b(?:generated|do not edit)", re.I)
 LIBRARY_SAYS = re.compile(
     r"\bcopied from \S+|\bthis file is part of [\w.-]+\b[^\n]*\b(?:upstream|see)\b|^[\W]*[\w.@/-]+ v?\d+\.\d+(?:\.\d+)?\S* (?:\||-|–|—|\*|\()[^\n]*(?:licen[cs]e|released|copyright|\(c\)|https?:)|\bvendored (?:from|copy)\b|\bupstream version\b",
@@ -102,58 +104,62 @@ def tokens(text: str) -> tuple[list[str], list[str], int]:
 
 
 class Grammar:
-    """Re-Pair: the most frequent pair becomes a rule until no pair occurs twice."""
+    """Re-Pair: the most frequent pair becomes a rule until no pair occurs least times.
 
-    def __init__(self, symbols: list[str]):
+    A pair only becomes rarer once it is there, so pairs below least are never kept, and rules of at least that many uses are the same
+    as those of the whole grammar.
+    """
+
+    def __init__(self, symbols: list[str], least: int = 2):
         names: dict[str, int] = {}
         seq = [names.setdefault(s, len(names)) for s in symbols]
         self.terminals = list(names)
         self.rules: dict[int, tuple[int, int]] = {}
         n = len(seq)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        places: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for i in range(n - 1):
-            pair = (seq[i], seq[i + 1])
-            if not (pair[0] == pair[1] and i - 1 in places[pair]):
+        often = {pair for pair, count in Counter(zip(seq, seq[1:])).items() if count >= least}
+        places: dict[tuple[int, int], set[int]] = {pair: set() for pair in often}
+        for i, pair in enumerate(zip(seq, seq[1:])):
+            if pair in often and not (pair[0] == pair[1] and i - 1 in places[pair]):
                 places[pair].add(i)
-        heap = [(-len(where), pair) for pair, where in places.items() if len(where) > 1]
+        heap = [(-len(where), pair) for pair, where in places.items() if len(where) >= least]
         heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         new = len(names)
+        none: set[int] = set()
         while heap:
             count, pair = heapq.heappop(heap)
-            where = places.get(pair)
-            if not where or len(where) != -count:
-                if where and len(where) > 1:
+            where = places.get(pair, none)
+            if len(where) != -count:
+                if len(where) >= least:
                     heapq.heappush(heap, (-len(where), pair))
                 continue
             del places[pair]
             self.rules[new] = pair
-            touched = set()
+            fresh: dict[tuple[int, int], set[int]] = {}
             for i in sorted(where):
-                j = after[i] if i < n else n
+                j = after[i]
                 if j >= n or seq[i] != pair[0] or seq[j] != pair[1]:
                     continue
                 left, right = before[i], after[j]
                 if left >= 0:
-                    places.get((seq[left], pair[0]), set()).discard(left)
+                    p = (seq[left], pair[0])
+                    places.get(p, none).discard(left)
+                    fresh.get(p, none).discard(left)
                 if right < n:
-                    places.get((pair[1], seq[right]), set()).discard(j)
+                    places.get((pair[1], seq[right]), none).discard(j)
                 seq[i], seq[j] = new, -1
                 after[i] = right
                 if right < n:
                     before[right] = i
+                    fresh.setdefault((new, seq[right]), set()).add(i)
                 if left >= 0:
                     p = (seq[left], new)
-                    if not (p[0] == p[1] and before[left] >= 0 and before[left] in places[p]):
-                        places[p].add(left)
-                        touched.add(p)
-                if right < n:
-                    p = (new, seq[right])
-                    places[p].add(i)
-                    touched.add(p)
-            for p in touched:
-                if len(places[p]) > 1:
-                    heapq.heappush(heap, (-len(places[p]), p))
+                    if not (p[0] == p[1] and before[left] in fresh.get(p, none)):
+                        fresh.setdefault(p, set()).add(left)
+            for p, found in fresh.items():
+                if len(found) >= least:
+                    places[p] = found
+                    heapq.heappush(heap, (-len(found), p))
             new += 1
         self.start = [s for s in seq if s >= 0]
 
@@ -184,16 +190,18 @@ def minified(text: str) -> bool:
     return sum(map(len, long)) > LONG_LINES * len(text.strip())
 
 
+_COMMENTS = re.compile(r"(?:\s+|//[^\n]*|#[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)|\"{3}(?:[^\"]|\"(?!\"\"))*+\"{3}|'{3}(?:[^']|'(?!''))*+'{3}|['\"]use strict['\"];?)*+")
+
+
 def head(text: str) -> str:
     """The comments and blank lines before the first code."""
-    m = re.match(r"(?:\s+|//[^\n]*|#[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|['\"]use strict['\"];?)*", text)
-    return m.group(0)[:4000]
+    return _COMMENTS.match(text).group(0)
 
 
 def foot(text: str) -> str:
     """The comments after the last code."""
     lines = []
-    for line in reversed(text.rstrip()[-2000:].split("\n")):
+    for line in reversed(text.rstrip().split("\n")):
         if line.strip() and not re.match(r"\s*(?://|#|/?\*)", line):
             break
         lines.append(line)
@@ -201,29 +209,30 @@ def foot(text: str) -> str:
 
 
 def says_generated(top: str, text: str) -> bool:
-    for line in re.split(r"\n", top):
-        if GENERATED_SAYS.search(line) and not SPEAKS_ABOUT.search(line):
-            return True
-    return bool(GENERATED_MARK.match(text[:800]))
+    return any(not SPEAKS_ABOUT.search(line) for line in top.split("\n") if GENERATED_SAYS.search(line)) or ("enerated" in text and GENERATED_MARK.search(text) is not None)
 
 
-def own_reason(path: str, text: str, found: tuple[list[str], list[str], int] | None = None) -> str | None:
-    """Why the file itself is not hand-written, by what it holds and says; None where nothing speaks for it."""
-    top = head(text)
-    if says_generated(top + "\n" + foot(text), text) or TOOL_PATH.search(path):
-        return "generated"
-    if MINIFIED_PATH.search(path) or minified(text):
-        return "minified"
-    if LIBRARY_PATH.search(path) or LIBRARY_SAYS.search(top[:1500]):
-        return "vendored"
+def own_reason(path: str, text: str, found: tuple[list[str], list[str], int] | None = None) -> tuple[str, str] | None:
+    """(reason, evidence) why the file itself is not hand-written: by its lines, its grammar, its literals, and else by what it says."""
     true, kinds, literal = found or tokens(text)
-    dense = sum(len(t) for t in true) or 1
+    if minified(text):
+        return "minified", "lines"
+    if len(kinds) >= TEMPLATE_SIZE * TEMPLATE_USES and Grammar(kinds).template(len(kinds)) > TEMPLATE:
+        return "generated", "grammar"
+    dense = sum(map(len, true)) or 1
     signs = sum(1 for k in kinds if k in ",[]{}-")
-    if len(text) > 600 and literal + signs > LITERALS * dense and incompressible(text) > BITS and sum(k in ("S", "N") for k in kinds) > 0.25 * len(kinds):
-        return "blob"
-    if len(kinds) >= 4 * TEMPLATE_SIZE and Grammar(kinds).template(len(kinds)) > TEMPLATE:
-        return "generated"
-    return None
+    if literal >= BLOB and literal + signs > LITERALS * dense and sum(k in ("S", "N") for k in kinds) > 0.25 * len(kinds) and incompressible(text) > BITS:
+        return "blob", "literals"
+    top = head(text)
+    if says_generated(top + "\n" + foot(text), text):
+        return "generated", "comment"
+    if TOOL_PATH.search(path):
+        return "generated", "path"
+    if MINIFIED_PATH.search(path):
+        return "minified", "path"
+    if LIBRARY_SAYS.search(top):
+        return "vendored", "comment"
+    return ("vendored", "path") if LIBRARY_PATH.search(path) else None
 
 
 class _Hashes(dict):
@@ -267,7 +276,7 @@ def consistent_rules(true: list[str], rounds: int = ROUNDS) -> list[tuple[int, i
     return list(zip(names.tolist(), sizes.tolist()))
 
 
-SCHEMA = "file_id long, owner string, path string, reason string, rule long, size int"
+SCHEMA = "file_id long, owner string, path string, reason string, evidence string, rule long, weight long"
 
 
 def analysed(files: DataFrame, file_id: str = "file_id", repo: str = "repo", path: str = "path", text: str = "value") -> DataFrame:
@@ -276,24 +285,41 @@ def analysed(files: DataFrame, file_id: str = "file_id", repo: str = "repo", pat
     def rule(key, owner, where, source) -> Iterator[tuple]:
         source = source or ""
         found = tokens(source)
-        yield key, owner, where, own_reason(where, source, found) if source.strip() else None, 0, 0
+        yield key, owner, where, *((own_reason(where, source, found) if source.strip() else None) or (None, None)), 0, 0
+        sums: dict[int, int] = {}
         for name, size in consistent_rules(found[0]):
-            yield key, owner, where, None, name - (1 << 63), size
+            sums[name] = sums.get(name, 0) + size
+        for name, size in sums.items():
+            yield key, owner, None, None, None, name - (1 << 63), size
 
     code = files.filter(F.lower(F.regexp_extract(path, r"\.(\w+)$", 1)).isin(*LANGUAGES))
     return map_columns(spread(code), [file_id, repo, path, text], rule, SCHEMA)
 
 
+def _marked(rules: DataFrame) -> DataFrame:
+    """rules with elsewhere: whether another repository holds the rule.
+
+    Rules with more than a share HOT of all rows are broadcast, of which there are 1 / HOT at most; no other key is large.
+    """
+    held_by = rules.groupBy("rule").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.count("*").alias("n"))
+    total = F.broadcast(rules.agg(F.count("*").alias("total")))  # one row
+    copied = held_by.filter("a <> b").crossJoin(total).select("rule", (F.col("n") > HOT * F.col("total")).alias("hot"))
+    one = rules.join(F.broadcast(copied.filter("hot")), "rule", "left")
+    rest = one.filter("hot IS NULL").drop("hot").join(copied.filter("NOT hot").select("rule", F.lit(True).alias("elsewhere")), "rule", "left")
+    return rest.unionByName(one.filter("hot").withColumnRenamed("hot", "elsewhere"))
+
+
 def classified(files: DataFrame, shared: float = SHARED, **names: str) -> DataFrame:
-    """(file_id, owner, path, reason): reason is generated, minified, vendored, blob or null for hand-written files."""
+    """(file_id, owner, path, reason, evidence, share): reason is generated, minified, vendored, blob or null for hand-written files."""
     found = analysed(files, **names).persist()
-    rules = found.filter("rule <> 0").groupBy("file_id", "owner", "rule").agg(F.max("size").alias("size"), F.count("*").alias("times"))
-    copied = rules.groupBy("rule").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).filter("a <> b").select("rule", F.lit(True).alias("elsewhere"))
-    weight = F.col("size") * F.col("times")
-    share = rules.join(copied, "rule", "left").groupBy("file_id").agg((F.sum(F.when(F.col("elsewhere"), weight).otherwise(0)) / F.sum(weight)).alias("share"), F.sum(weight).alias("tokens"))
-    own = found.filter("rule = 0").groupBy("file_id").agg(F.first("owner", True).alias("owner"), F.first("path", True).alias("path"), F.max("reason").alias("reason"))
-    copy = (F.col("share") > shared) & (F.col("tokens") >= 40)
-    return own.join(share, "file_id", "left").select("file_id", "owner", "path", F.coalesce("reason", F.when(copy, F.lit("vendored"))).alias("reason"), F.round("share", 4).alias("share"))
+    rules = found.filter("rule <> 0").groupBy("file_id", "owner", "rule").agg(F.max("weight").alias("weight"))
+    sums = _marked(rules).groupBy("file_id").agg(F.sum(F.when(F.col("elsewhere"), F.col("weight")).otherwise(0)).alias("copied"), F.sum("weight").alias("tokens"))
+    own = found.filter("rule = 0").groupBy("file_id").agg(F.first("owner", True).alias("owner"), F.first("path", True).alias("path"), F.max("reason").alias("reason"), F.max("evidence").alias("evidence"))
+    share = F.coalesce(F.col("copied") / F.col("tokens"), F.lit(0.0))
+    copy = (share > shared) & (F.col("tokens") >= COPY)
+    return own.join(sums, "file_id", "left").select(
+        "file_id", "owner", "path", F.when(copy, "vendored").otherwise(F.col("reason")).alias("reason"), F.when(copy, "shared rules").otherwise(F.col("evidence")).alias("evidence"), F.round(share, 4).alias("share")
+    )
 
 
 def not_handwritten(files: DataFrame, **names: str) -> DataFrame:

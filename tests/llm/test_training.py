@@ -65,16 +65,29 @@ def test_grammar_is_lossless_and_finds_templates():
 
 
 def test_reasons():
-    assert handwritten.own_reason("src/a.py", "# Code generated by gen 1.2. DO NOT EDIT.\nx = 1\n") == "generated"
-    assert handwritten.own_reason("src/a.js", "x = 1;\n// Diese Datei wurde automatisch erzeugt, bitte nicht bearbeiten.\n") == "generated"
+    assert handwritten.own_reason("src/a.py", "# Code generated by gen 1.2. DO NOT EDIT.\nx = 1\n")[0] == "generated"
+    assert handwritten.own_reason("src/a.js", "x = 1;\n// Diese Datei wurde automatisch erzeugt, bitte nicht bearbeiten.\n")[0] == "generated"
     assert handwritten.own_reason("src/a.js", "// the writer below puts '@generated, do not edit' on top of its files\nconst B = '/* @generated */';\n") is None
     assert handwritten.own_reason("src/codegen/emit.py", "BANNER = '# Code generated by emit. DO NOT EDIT.'\n") is None
-    assert handwritten.own_reason("src/a.js", "".join(f"var a{i}={{}};b{i}(c,{i});" for i in range(40))) == "minified"
+    assert handwritten.own_reason("src/a.js", "".join(f"var a{i}={{}};b{i}(c,{i});" for i in range(40)))[0] == "minified"
     assert handwritten.own_reason("src/a.js", 'const q = "select ' + "aa.bb, " * 80 + '";\nfunction f(a) {\n  return a + q;\n}\n') is None
     random.seed(2)
     blob = "T = [\n" + "".join(f'    "{"".join(random.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=76))}",\n' for _ in range(20)) + "]\n"
-    assert handwritten.own_reason("src/t.py", blob) == "blob"
-    assert handwritten.own_reason("src/a.js", "/*! lib v1.2.3 | MIT licence | https://lib.example/ */\nlet a = 1;\n") == "vendored"
+    assert handwritten.own_reason("src/t.py", blob)[0] == "blob"
+    assert handwritten.own_reason("src/a.js", "/*! lib v1.2.3 | MIT licence | https://lib.example/ */\nlet a = 1;\n")[0] == "vendored"
+    licence = "/*\n" + " * Permission is granted to use, copy and change this file as long as this notice is kept.\n" * 200
+    assert handwritten.own_reason("src/a.js", licence + " * Code generated by gen 1.2. DO NOT EDIT.\n */\nlet a = 1;\n") == ("generated", "comment")
+    assert handwritten.own_reason("src/a.js", licence + " * lib v1.2.3 | MIT licence | https://lib.example/\n */\nlet a = 1;\n") == ("vendored", "comment")
+    assert handwritten.own_reason("src/A.java", "package a;\n" + "".join(f"import a.b.C{i}{'x' * (i % 7)};\n" for i in range(100)) + '@Generated("gen")\nclass A {}\n') == ("generated", "comment")
+    assert handwritten.own_reason("src/a.py", "x = 1\n" + "# " + "y" * 3000 + "\n# generated by gen 2.0\n") == ("generated", "comment")
+
+
+def test_a_rule_that_most_files_hold(spark):
+    """One owner and one text hold most rows: the hot rules are broadcast, and the result is that of the plain join."""
+    common = "import os\nimport sys\n\n\ndef main(a, b):\n    return os.path.join(a, b, sys.argv[0])\n\n\nif __name__ == '__main__':\n    main(sys.argv[1], sys.argv[2])\n"
+    data = [(i, "big" if i % 3 else f"r{i % 50}", f"a{i}.py", common) for i in range(700)] + [(1000 + i, f"r{i % 40}", f"b{i}.py", f"def f{i}(a{i}):\n    return [x{i} * {i} for x{i} in a{i} if x{i} > {i}] + ['v{i}', {i}]\n" * 2) for i in range(300)]
+    found = {r.file_id: r.reason for r in handwritten.classified(spark.createDataFrame(data, FILES)).collect()}
+    assert {found[i] for i in range(700)} == {"vendored"} and {found[1000 + i] for i in range(300)} == {None}
 
 
 def test_copies_between_repositories(spark):
