@@ -26,10 +26,11 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oresieve.llm.common import LANGUAGES, map_columns, spread
+from oresieve.llm.common import LANGUAGES, held, spread
 
 #: Share of a file's tokens in one template, its least size and number of uses.
 TEMPLATE, TEMPLATE_SIZE, TEMPLATE_USES = 0.6, 8, 4
@@ -177,6 +178,43 @@ class Grammar:
         return max((uses[r] * size[r] / n for r in self.rules if size[r] >= TEMPLATE_SIZE and uses[r] >= TEMPLATE_USES and named[r] >= 1 and other[r] >= 0.5 * size[r]), default=0.0)
 
 
+def template_share(kinds: list[str]) -> float:
+    """Grammar.template of the symbols, 0 where it can't exceed TEMPLATE.
+
+    Every run of TEMPLATE_SIZE symbols inside a template occurs as often as the template, so where runs of TEMPLATE_USES places cover no
+    more than TEMPLATE of the file, no grammar has to be built.
+    """
+    n = len(kinds)
+    if n < TEMPLATE_SIZE * TEMPLATE_USES:
+        return 0.0
+    codes = np.array([_CODES[k] for k in kinds], dtype=np.uint64)
+    runs = np.zeros(n - TEMPLATE_SIZE + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(TEMPLATE_SIZE):
+            runs = runs * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(runs)]
+    _, which, count = np.unique(runs, return_inverse=True, return_counts=True)
+    starts = np.flatnonzero(count[which] >= TEMPLATE_USES)
+    marks = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(marks, starts, 1)
+    np.add.at(marks, starts + TEMPLATE_SIZE, -1)
+    if np.count_nonzero(np.cumsum(marks)) <= TEMPLATE * n:
+        return 0.0
+    return Grammar(kinds, TEMPLATE_USES).template(n)
+
+
+class _Codes(dict):
+    """Symbol → a number of 64 bits."""
+
+    def __missing__(self, symbol: str) -> int:
+        import xxhash
+
+        self[symbol] = out = xxhash.xxh3_64_intdigest(symbol)
+        return out
+
+
+_CODES = _Codes()
+
+
 def incompressible(text: str) -> float:
     """Bits a character that the literals of text take when compressed, commas and blanks aside."""
     literals = "".join("".join(x) for x in re.findall(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`|(\d[\w.]*)", text))
@@ -217,7 +255,7 @@ def own_reason(path: str, text: str, found: tuple[list[str], list[str], int] | N
     true, kinds, literal = found or tokens(text)
     if minified(text):
         return "minified", "lines"
-    if len(kinds) >= TEMPLATE_SIZE * TEMPLATE_USES and Grammar(kinds).template(len(kinds)) > TEMPLATE:
+    if template_share(kinds) > TEMPLATE:
         return "generated", "grammar"
     dense = sum(map(len, true)) or 1
     signs = sum(1 for k in kinds if k in ",[]{}-")
@@ -258,22 +296,27 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def consistent_rules(true: list[str], rounds: int = ROUNDS) -> list[tuple[int, int]]:
-    """(name, tokens) of the rules of the last round; a phrase ends at each symbol whose mixed hash is a local minimum."""
-    names = np.array([_HASHES[t] for t in true], dtype=np.uint64)
+def consistent_rules(files: list[list[str]], rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each file's tokens (names, tokens) of the rules of the last round; a phrase ends at each symbol whose mixed hash is a local minimum.
+
+    All files of a batch lie in one line, and no phrase crosses the end of a file.
+    """
+    counts = np.array([len(f) for f in files], dtype=np.int64)
+    names = np.array([_HASHES[t] for f in files for t in f], dtype=np.uint64)
     sizes = np.ones(len(names), dtype=np.int64)
+    which = np.repeat(np.arange(len(files)), counts)
     with np.errstate(over="ignore"):
-        for level in range(rounds):
-            if len(names) < 3:
-                break
+        for level in range(rounds if len(names) else 0):
             keys = _mixed(names, 2 * level)
-            ends = np.zeros(len(names), dtype=bool)
-            ends[1:-1] = (keys[1:-1] < keys[:-2]) & (keys[1:-1] <= keys[2:])
-            starts = np.concatenate(([0], np.flatnonzero(ends) + 1))
+            last = np.append(which[1:] != which[:-1], True)
+            first = np.insert(last[:-1], 0, True)
+            lowest = np.append(keys[:-1] <= keys[1:], False) & np.insert(keys[1:] < keys[:-1], 0, False)
+            starts = np.concatenate(([0], np.flatnonzero(last | (lowest & ~first)) + 1))[:-1]
             place = np.arange(len(names)) - np.repeat(starts, np.diff(np.append(starts, len(names))))
             parts = _mixed(names + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), 2 * level + 1)
-            names, sizes = _mixed(np.add.reduceat(parts, starts), 100 + level), np.add.reduceat(sizes, starts)
-    return list(zip(names.tolist(), sizes.tolist()))
+            names, sizes, which = _mixed(np.add.reduceat(parts, starts), 100 + level), np.add.reduceat(sizes, starts), which[starts]
+    ends = np.searchsorted(which, np.arange(len(files) + 1))
+    return [(names[i:j], sizes[i:j]) for i, j in zip(ends[:-1], ends[1:])]
 
 
 SCHEMA = "file_id long, owner string, path string, reason string, evidence string, rule long, weight long"
@@ -282,18 +325,29 @@ SCHEMA = "file_id long, owner string, path string, reason string, evidence strin
 def analysed(files: DataFrame, file_id: str = "file_id", repo: str = "repo", path: str = "path", text: str = "value") -> DataFrame:
     """Of each code file a row with the reason it gives itself (rule 0), and a row for each rule of the consistent grammar."""
 
-    def rule(key, owner, where, source) -> Iterator[tuple]:
-        source = source or ""
-        found = tokens(source)
-        yield key, owner, where, *((own_reason(where, source, found) if source.strip() else None) or (None, None)), 0, 0
-        sums: dict[int, int] = {}
-        for name, size in consistent_rules(found[0]):
-            sums[name] = sums.get(name, 0) + size
-        for name, size in sums.items():
-            yield key, owner, None, None, None, name - (1 << 63), size
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+    def run(batches):
+        for batch in batches:
+            keys, owners, paths, texts = (batch.column(i).to_pylist() for i in range(4))
+            found = [tokens(text or "") for text in texts]
+            reasons = [(own_reason(where, text, own) if (text or "").strip() else None) or (None, None) for where, text, own in zip(paths, texts, found)]
+            empty, zero = [None] * len(keys), [0] * len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip((keys, owners, paths, *zip(*reasons), zero, zero), kinds)] if keys else [pa.array(empty, type=k) for k in kinds], names=names)
+            at, rules, weights = [], [], []
+            for i, (rule, size) in enumerate(consistent_rules([own[0] for own in found])):
+                each, where = np.unique(rule, return_inverse=True)
+                at.append(np.full(len(each), i)), rules.append(each), weights.append(np.bincount(where, size, len(each)).astype(np.int64))
+            if at and sum(map(len, at)):
+                at = pa.array(np.concatenate(at))
+                nothing = pa.nulls(len(at), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at).cast(pa.int64()), batch.column(1).take(at).cast(pa.string()), nothing, nothing, nothing, pa.array(np.concatenate(rules).astype(np.int64)), pa.array(np.concatenate(weights))], names=names
+                )
 
     code = files.filter(F.lower(F.regexp_extract(path, r"\.(\w+)$", 1)).isin(*LANGUAGES))
-    return map_columns(spread(code), [file_id, repo, path, text], rule, SCHEMA)
+    return spread(code).select(F.col(file_id).cast("long"), repo, path, text).mapInArrow(run, SCHEMA)
 
 
 def _marked(rules: DataFrame) -> DataFrame:
@@ -311,12 +365,12 @@ def _marked(rules: DataFrame) -> DataFrame:
 
 def classified(files: DataFrame, shared: float = SHARED, **names: str) -> DataFrame:
     """(file_id, owner, path, reason, evidence, share): reason is generated, minified, vendored, blob or null for hand-written files."""
-    found = analysed(files, **names).persist()
-    rules = found.filter("rule <> 0").groupBy("file_id", "owner", "rule").agg(F.max("weight").alias("weight"))
+    found = held(analysed(files, **names))
+    rules = found.filter("rule <> 0").select("file_id", "owner", "rule", "weight")
     sums = _marked(rules).groupBy("file_id").agg(F.sum(F.when(F.col("elsewhere"), F.col("weight")).otherwise(0)).alias("copied"), F.sum("weight").alias("tokens"))
-    own = found.filter("rule = 0").groupBy("file_id").agg(F.first("owner", True).alias("owner"), F.first("path", True).alias("path"), F.max("reason").alias("reason"), F.max("evidence").alias("evidence"))
+    own = found.filter("rule = 0").groupBy("file_id").agg(F.first("owner", True).alias("owner"), F.first("path", True).alias("path"), F.max("reason").alias("reason"), F.max("evidence").alias("evidence"), F.count("*").alias("times"))
     share = F.coalesce(F.col("copied") / F.col("tokens"), F.lit(0.0))
-    copy = (share > shared) & (F.col("tokens") >= COPY)
+    copy = (share > shared) & (F.col("tokens") >= COPY * F.col("times"))
     return own.join(sums, "file_id", "left").select(
         "file_id", "owner", "path", F.when(copy, "vendored").otherwise(F.col("reason")).alias("reason"), F.when(copy, "shared rules").otherwise(F.col("evidence")).alias("evidence"), F.round(share, 4).alias("share")
     )

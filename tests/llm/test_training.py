@@ -78,10 +78,20 @@ def test_reasons():
     licence = "/*\n" + " * Permission is granted to use, copy and change this file as long as this notice is kept.\n" * 200
     assert handwritten.own_reason("src/a.js", licence + " * Code generated by gen 1.2. DO NOT EDIT.\n */\nlet a = 1;\n") == ("generated", "comment")
     assert handwritten.own_reason("src/a.js", licence + " * lib v1.2.3 | MIT licence | https://lib.example/\n */\nlet a = 1;\n") == ("vendored", "comment")
-    assert handwritten.own_reason("src/A.java", "package a;\n" + "".join(f"import a.b.C{i}{'x' * (i % 7)};\n" for i in range(100)) + '@Generated("gen")\nclass A {}\n') == ("generated", "comment")
+    assert handwritten.own_reason("src/A.java", "package a;\n" + licence + " */\nimport b.C;\n" + '@Generated("gen")\nclass A {}\n') == ("generated", "comment")
     assert handwritten.own_reason("src/a.py", "x = 1\n" + "# " + "y" * 3000 + "\n# generated by gen 2.0\n") == ("generated", "comment")
 
 
+def test_pruned_grammar_is_the_same():
+    random.seed(5)
+    for _ in range(200):
+        unit = [random.choice("abcdI(") for _ in range(random.randint(6, 14))]
+        seq = [x for _ in range(random.randint(1, 12)) for x in unit + random.choices("xyzI;", k=random.randint(0, 6))] + random.choices("abcdI(", k=random.randint(0, 60))
+        whole, least = handwritten.Grammar(seq).template(len(seq)), handwritten.Grammar(seq, handwritten.TEMPLATE_USES).template(len(seq))
+        assert whole == least
+        assert handwritten.template_share(seq) in (0.0, whole) and (whole <= handwritten.TEMPLATE or handwritten.template_share(seq) == whole)
+
+
 def test_a_rule_that_most_files_hold(spark):
     """One owner and one text hold most rows: the hot rules are broadcast, and the result is that of the plain join."""
     common = "import os\nimport sys\n\n\ndef main(a, b):\n    return os.path.join(a, b, sys.argv[0])\n\n\nif __name__ == '__main__':\n    main(sys.argv[1], sys.argv[2])\n"
