@@ -1,10 +1,14 @@
 """Problem 5: prompt and response pairs that are no usable question and answer.
 
-Openings of responses (their first words, names masked) are clustered by MinHash: bands of signatures give candidates, a Jaccard
-similarity of at least SIMILAR over shingles of five words verifies them, and labels spread over verified links until none changes. A
-cluster that recurs over unrelated prompts and mostly declines is a refusal template; all short members without documentation are
-refusals. Copies are found by the runs of words that a response shares with its prompt, other languages by function words and script
-against the language that the prompt asks for, truncated responses by problem 3.
+Openings of responses (their first words, names masked, in three lengths) are clustered by MinHash: bands of signatures give candidates, a
+Jaccard similarity of at least SIMILAR over shingles of five words verifies them, and labels spread over verified links until none
+changes. A cluster is a refusal template if it recurs over unrelated prompts while its members speak of themselves or to the reader
+instead of the code: no word of declining is asked for. All its members that document nothing are refusals. Phrases of declining find those
+that no other response repeats. Copies are found by the runs of words that a response shares with its prompt, other languages by function
+words and script against the language that the prompt asks for, truncated responses by problem 3.
+
+In a bucket only openings meet that also share one of their rarest shingles, as any two of that similarity do, so no link is lost and a
+full bucket does not yield all its pairs.
 
 Of several defects the first of empty, refusal, copy, wrong_language, truncated counts. Defined results: null, blank and wordless
 responses are empty; a null prompt asks for English and can't be copied; a pair delivered again counts once; extra columns don't matter.
@@ -20,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oresieve.llm import truncation
-from oresieve.llm.common import checkpointed, map_columns
+from oresieve.llm.common import checkpointed, held, map_columns
 from oresieve.llm.docpairs import words as telling_words
-from oresieve.llm.spam import FUNCTION
+from oresieve.llm.spam import _KNOWN, FUNCTION
 
-#: Words of an opening, of a shingle, hashes, bands, similarity, prompts over which a template recurs.
-OPENING, SHINGLE, HASHES, BANDS, SIMILAR, PROMPTS = 12, 5, 64, 16, 0.8, 2
+#: Words of openings, of a shingle, hashes, bands, similarity, functions over which a template recurs.
+OPENINGS, SHINGLE, HASHES, BANDS, SIMILAR, PROMPTS = (5, 12, 60), 5, 64, 16, 0.8, 3
+#: Words beside the refusal that still document nothing, and words of the code from which on a response is about it.
+TOLD, ABOUT = 24, 2
 #: Share of a copied response's words that stand in its prompt, and words that may be added to it.
 COPIED, ADDED = 0.7, 4
 
@@ -61,6 +67,14 @@ SPEAKER = re.compile(
 )
 
 
+# Words by which a writer speaks of itself or to the reader.
+ADDRESS = re.compile(
+    r"\b(?:i|i['’](?:m|d|ve|ll)|me|my|we|us|our|you|your|(?:this|the) (?:assistant|model|request)|ich|mir|mich|meine?|wir|je|j['’]\w+|moi|mon|vous|nous|yo|mí|puedo|siento|nosotros|usted|eu|mim|posso|consigo|nós|você|"
+    r"diese anfrage|cette demande|esta solicitud|este pedido)\b",
+    re.I,
+)
+
+
 def plain(text: str) -> str:
     """The response without its frame: tags, fences and comment marks."""
     return _FENCE.sub(" ", truncation.content(text))
@@ -163,17 +177,39 @@ def declines(response: str) -> tuple[bool, bool]:
     for s in parts[(0 if start else 1) :]:
         if not (first and says(s)):
             told += len(_WORD.findall(s))
-            if told > 24:
+            if told > TOLD:
                 return first, False
     return first, True
 
 
-def opening(response: str, name: str | None) -> str:
-    """The first words, the function's name and other quoted names masked."""
-    text = re.sub(r"`[^`]*`", " X ", plain(response)[:2000])
+def addresses(prompt: str | None, response: str) -> bool:
+    """Whether the first sentence speaks of the writer or to the reader and is none of the prompt's own."""
+    start = next((s for s in _SENTENCE.split(plain(response)) if s.strip()), "")
+    if not ADDRESS.search(start):
+        return False
+    return " ".join(_WORD.findall(start.lower())) not in " ".join(_WORD.findall((prompt or "").lower()))
+
+
+def about(prompt: str | None, response: str, name: str | None) -> bool:
+    """Whether the response has words of the prompt's code in it, parts of names counted, besides the function's own name."""
+    code = (prompt or "")[len(instruction((prompt or "").lstrip())) :]
+    parts = {w.lower() for w in re.findall(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}", code)}
+    own = {w.lower() for w in re.findall(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}", name or "")}
+    said = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", re.sub(r"`[^`]*`", " ", plain(response)))}
+    return len((said & parts) - own - _KNOWN) >= ABOUT
+
+
+def openings(response: str, name: str | None) -> list[str]:
+    """The first words of each length, the function's name and other quoted names masked."""
+    text = re.sub(r"`[^`]*`", " X ", plain(response))
     if name:
         text = text.replace(name, " X ")
-    return " ".join(w.lower() for w in _WORD.findall(text)[:OPENING])
+    found: list[str] = []
+    for m in _WORD.finditer(text):
+        found.append(m.group(0).lower())
+        if len(found) == OPENINGS[-1]:
+            break
+    return [" ".join(found[:n]) for i, n in enumerate(OPENINGS) if not i or len(found) > OPENINGS[i - 1]]
 
 
 def shingles(text: str) -> list[str]:
@@ -195,69 +231,93 @@ def bands(parts: list[int]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(signature[i * rows : (i + 1) * rows].tobytes(), seed=i) - (1 << 63) for i in range(BANDS)]
 
 
-def clusters(openings: DataFrame) -> DataFrame:
-    """(opening, cluster): openings joined by verified links, through chains of any length; cluster is the least id of its members.
+def links(nodes: DataFrame) -> DataFrame:
+    """(id, to) of all pairs that share a bucket and are similar, both ways; nodes: id, parts (hashes of shingles), bands.
 
-    In a bucket each opening is compared with the bucket's least one only, so no bucket yields all pairs.
+    parts of two sets of similarity SIMILAR, ordered from the rarest on, meet within the first n - ceil(SIMILAR n) + 1, so the key of a
+    bucket is widened by one of those.
     """
+    uses = nodes.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("uses"))
+    ordered = nodes.select("id", F.explode("parts").alias("part")).join(uses, "part").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("uses", "part"))).alias("o"))
+    first = F.expr(f"slice(o.part, 1, size(o) - cast(ceil({SIMILAR} * size(o)) AS int) + 1)")
+    keys = nodes.join(ordered.select("id", first.alias("first")), "id").select("id", F.explode("first").alias("part"), "bands").select("id", "part", F.posexplode("bands").alias("band", "key"))
+    # a part of these that nobody else has meets nothing
+    met = keys.groupBy("part", "band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    keys = keys.join(met, ["part", "band", "key"])
+    near = keys.join(keys.withColumnRenamed("id", "to"), ["part", "band", "key"]).filter("id < to").select("id", "to").distinct()
+    parts = nodes.select("id", "parts")
+    both = near.join(parts, "id").join(parts.select(F.col("id").alias("to"), F.col("parts").alias("others")), "to")
+    same = F.size(F.array_intersect("parts", "others"))
+    similar = both.filter(same >= SIMILAR * (F.size("parts") + F.size("others") - same)).select("id", "to")
+    return similar.unionByName(similar.select(F.col("to").alias("id"), F.col("id").alias("to")))
+
+
+def clusters(openings: DataFrame) -> DataFrame:
+    """(opening, cluster): openings joined by verified links, through chains of any length; cluster is the least id of its members."""
 
     def rule(text) -> Iterator[tuple]:
         import xxhash
 
         parts = [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in shingles(text)]
-        yield text, xxhash.xxh3_64_intdigest(text) - (1 << 63), parts, bands(parts)
+        yield text, xxhash.xxh3_64_intdigest(text) - (1 << 63), parts, bands(parts) if len(parts) > 1 else []
 
     nodes = map_columns(openings, ["opening"], rule, "opening string, id long, parts array<long>, bands array<long>").persist()
-    keys = nodes.select("id", F.posexplode("bands").alias("band", "key"))
-    least = keys.groupBy("band", "key").agg(F.min("id").alias("to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    near = keys.join(least, ["band", "key"]).filter("id <> to").select("id", "to").distinct()
-    parts = nodes.select("id", "parts")
-    met = near.join(parts, "id").join(parts.select(F.col("id").alias("to"), F.col("parts").alias("others")), "to")
-    similar = F.size(F.array_intersect("parts", "others")) / F.size(F.array_union("parts", "others"))
-    links = met.filter(similar >= SIMILAR).select("id", "to")
-    both = checkpointed(links.unionByName(links.select(F.col("to").alias("id"), F.col("id").alias("to"))).distinct())
+    # an opening of one shingle is like no other
+    both = checkpointed(links(nodes.filter("size(parts) > 1")))
     labels = both.select("id").distinct().withColumn("cluster", F.col("id"))
     while True:
         spread_ = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("cluster").alias("near"))
-        new = checkpointed(labels.join(spread_, "id").select("id", F.least("cluster", "near").alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")))
+        near = labels.join(spread_, "id").select("id", F.least("cluster", "near").alias("near"), "cluster")
+        # the label's own label: chains halve with each round
+        of = near.select(F.col("id").alias("near"), F.col("near").alias("further"))
+        new = checkpointed(near.join(of, "near").select("id", F.least("near", "further").alias("cluster"), (F.col("further") < F.col("cluster")).alias("moved")))
         labels = new.select("id", "cluster")
         if new.filter("moved").isEmpty():
             break
     return nodes.join(labels, "id", "left").select("opening", F.coalesce("cluster", "id").alias("cluster"))
 
 
-def judged(pairs: DataFrame) -> DataFrame:
-    """(record_id, defect_type) of every pair; null for usable ones."""
-    one = pairs.select("record_id", "prompt", "raw_llm_response", "function_name").distinct()
+def templates(spoken: DataFrame) -> DataFrame:
+    """record_id of the responses that follow a refusal template; spoken: record_id, name, speaks, about, openings."""
+    each = spoken.select("record_id", "name", "speaks", "about", F.explode("openings").alias("opening"))
+    texts = each.groupBy("opening").agg(F.count("*").alias("n"), F.count_if("speaks").alias("speaks"), F.count_if("about").alias("about"))
+    named = clusters(texts.filter("opening <> ''").select("opening")).persist()
+    votes = texts.join(named, "opening").groupBy("cluster").agg(*[F.sum(c).alias(c) for c in ("n", "speaks", "about")])
+    functions = each.select("opening", "name").distinct().join(named, "opening").select("cluster", "name").distinct().groupBy("cluster").agg(F.count("name").alias("functions"))
+    recurring = functions.filter(F.col("functions") >= PROMPTS).join(votes, "cluster").filter("2 * speaks >= n AND 2 * about < n").select("cluster")
+    return each.join(named.join(recurring, "cluster"), "opening").filter("speaks").select("record_id").distinct()
+
+
+def signs(pairs: DataFrame) -> DataFrame:
+    """Of each pair what it shows by itself; openings only where nothing is documented."""
 
     def rule(key, prompt, response, name) -> Iterator[tuple]:
         if says_nothing(response):
-            yield key, "empty", False, True, "", name
+            yield key, "empty", False, True, False, False, [], name
             return
         first, silent = declines(response)
         found = "copy" if copies(prompt, response) else "wrong_language" if other_language(prompt, response) else None
-        yield key, found, first and found != "copy", silent, opening(response, name) if silent else "", name
-
-    found = map_columns(one, ["record_id", "prompt", "raw_llm_response", "function_name"], rule, "record_id long, found string, declines boolean, silent boolean, opening string, name string").persist()
-    # a refusal documents nothing else, so only such responses can be members of its template
-    speaking = found.filter("silent AND (found IS NULL OR found = 'wrong_language')")
-    texts = speaking.groupBy("opening").agg(F.count("*").alias("n"), F.count_if("declines").alias("no"), F.min("name").alias("a"), F.max("name").alias("b"))
-    named = clusters(texts.select("opening"))
-    votes = texts.join(named, "opening").groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("no").alias("no"), F.min("a").alias("a"), F.max("b").alias("b"))
-    template = (F.col("no") >= 0.5 * F.col("n")) & ((F.col("n") >= PROMPTS) & (F.col("a") != F.col("b")))
-    refusals = named.join(votes.select("cluster", template.alias("template")), "cluster").filter("template").select("opening", "template")
+        spoken = silent and found != "copy"
+        speaks = spoken and addresses(prompt, response)
+        yield key, found, first and found != "copy", silent, speaks, speaks and about(prompt, response, name), openings(response, name) if spoken else [], name
+
+    one = pairs.select("record_id", "prompt", "raw_llm_response", "function_name").distinct()
+    return map_columns(one, ["record_id", "prompt", "raw_llm_response", "function_name"], rule, "record_id long, found string, declines boolean, silent boolean, speaks boolean, about boolean, openings array<string>, name string")
+
+
+def judged(pairs: DataFrame) -> DataFrame:
+    """(record_id, defect_type, by_template) of every pair; null for usable ones."""
+    found = held(signs(pairs))
+    refusals = templates(found.filter("size(openings) > 0")).withColumn("by_template", F.lit(True))
     cut = truncation.judged(pairs, ("raw_llm_response",)).filter("log_odds > 0").select("record_id", F.lit(True).alias("cut")).distinct()
-    # the openings of other responses were not taken, so they would all meet under one key
-    quiet = found.filter("opening <> ''").join(refusals, "opening", "left").select(*found.columns, "template")
-    whole = quiet.unionByName(found.filter("opening = ''").withColumn("template", F.lit(None).cast("boolean"))).join(cut, "record_id", "left")
-    refusal = F.col("silent") & (F.coalesce("template", F.lit(False)) | F.col("declines"))
+    whole = found.join(refusals, "record_id", "left").join(cut, "record_id", "left").withColumn("by_template", F.coalesce("by_template", F.lit(False)))
     defect = (
         F.when(F.col("found") == "empty", "empty")
-        .when(refusal & (F.coalesce("found", F.lit("")) != "copy"), "refusal")
+        .when(F.col("silent") & (F.col("by_template") | F.col("declines")), "refusal")
         .when(F.col("found").isNotNull(), F.col("found"))
         .when(F.col("cut"), "truncated")
     )
-    return whole.select("record_id", defect.alias("defect_type"))
+    return whole.select("record_id", defect.alias("defect_type"), "by_template")
 
 
 def defective(pairs: DataFrame) -> DataFrame:

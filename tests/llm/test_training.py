@@ -291,6 +291,37 @@ def test_clusters_follow_chains_and_lose_no_link(spark):
     assert len({found[t] for t in texts[:6]}) == 1 and len(set(found.values())) == 3
 
 
+def test_links_equal_brute_force(spark):
+    """Every pair of similarity 0.8 or more is linked, however many share a bucket with a third."""
+    random.seed(9)
+    base = [f"w{i}" for i in range(80)]
+    texts = set()
+    for _ in range(400):
+        words = base[: random.choice([12, 58, 60, 60, 60])]
+        for _ in range(random.choice([0, 1, 1, 2])):
+            words = [*words]
+            words[random.choice([0, 1, 2, len(words) - 1, random.randrange(len(words))])] = f"x{random.randrange(30)}"
+        texts.add(" ".join(words))
+    sets = {t: set(pairs.shingles(t)) for t in texts}
+    brute = {(a, b) for a in texts for b in texts if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    import xxhash
+
+    ids = {xxhash.xxh3_64_intdigest(t) - (1 << 63): t for t in texts}
+    nodes = [(i, *(lambda p: (p, pairs.bands(p)))([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in pairs.shingles(t)])) for i, t in ids.items()]
+    found = {(ids[r.id], ids[r.to]) for r in pairs.links(spark.createDataFrame(nodes, "id long, parts array<long>, bands array<long>")).collect()}
+    assert found <= brute and len(found) >= 0.99 * len(brute) > 1000
+
+
+def test_templates_need_no_word_of_declining(spark):
+    """A sentence that recurs over functions and speaks of its writer is a template; documentation that recurs is none."""
+    prompt = "Explain what `f{0}` does.\n\ndef f{0}(ledger, depot):\n    return ledger.merge(depot, {0})"
+    no, doc = "I prefer to leave this one to my colleagues.", "Merges the ledger with the depot and returns it."
+    told = "You merge the ledger with the depot by this."
+    data = [pair(10 * i + k, t, prompt=prompt.format(i), name=f"f{i}") for i in range(5) for k, t in enumerate((no, doc, told, f"You are asked what `f{i}` does. {doc}"))]
+    found = {r.record_id: r.defect_type for r in pairs.defective(spark.createDataFrame(data, PAIRS)).collect()}
+    assert found == {10 * i: "refusal" for i in range(5)}
+
+
 # -- problem 6
 COMPONENTS = "id string, type string, language string, name string, source_code string, existing_docstring string"
 COMMENTS = "component_id string, original_comment string"
