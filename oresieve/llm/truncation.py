@@ -10,8 +10,14 @@
 
 Only lengths, templates and words are shuffled, counted before they are; the fit reads one histogram of lengths a source.
 
+   What ends that no template and no word explain (an unknown template, a bare tag) are worth comes from the corpus: the share of them
+   among open ends at limits, weighted by the posterior, over their share elsewhere.
+
+Templates are compared by hashes of their beginnings, one for each piece, so segments of any length count. Only open ends look for a
+template: all other values would meet under one key.
+
 Defined results: null, empty and wordless values are not truncated; a value delivered again counts once; a null writer is a source of
-its own; texts are read whole, and only segments of up to 60 words enter the corpus' templates.
+its own; texts are read whole.
 """
 
 from __future__ import annotations
@@ -25,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oresieve.llm.common import held, map_columns
 from oresieve.llm.spam import FUNCTION
 
 FIELDS = ("raw_llm_response", "generated_docstring")
-#: Likelihood ratios of an end: cut by itself, template that goes on, word that never ends it, template unknown (of a sentence's length, or
-#: shorter), template that ends.
-RATIOS = {"cut": 1e6, "goes_on": 400.0, "unknown_word": 400.0, "unknown_prose": 30.0, "unknown": 1.0, "ends": 1e-3, "finished": 1e-6}
+#: Likelihood ratios of an end: cut by itself, template that goes on, word that never ends it, unknown template of a sentence's length,
+#: template that ends; those of shorter unknown templates and bare tags are counted.
+RATIOS = {"cut": 1e6, "goes_on": 400.0, "unknown_word": 400.0, "unknown_prose": 30.0, "ends": 1e-3, "finished": 1e-6}
+COUNTED = ("unknown", "bare_tag")
 #: Factor for a docstring that is a true beginning of its reply, or the other way round.
 BEGINNING = 200.0
-MOST_WORDS = 60
 #: Uses of a template's end for each of its last words from which on another word is no end of it; pieces of a sentence.
 USES, SENTENCE = 12, 6
 
@@ -141,9 +148,8 @@ def scanned(text: str) -> tuple[list[tuple[str, str]], set[str]]:
     parts = [p for p in parts if p]
     whole = []
     for pieces in parts if closed else parts[:-1]:
-        if len(pieces) <= MOST_WORDS:
-            at = _last_word(pieces)
-            whole.append((" ".join([_MASKS[p] for p in pieces]), pieces[at].lower() if at >= 0 else ""))
+        at = _last_word(pieces)
+        whole.append((" ".join([_MASKS[p] for p in pieces]), pieces[at].lower() if at >= 0 else ""))
     words: set[str] = set()
     for pieces in parts if closed else parts[:-1]:
         words.update(pieces)
@@ -255,44 +261,77 @@ def facts(pairs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return values(pairs, fields).mapInArrow(run, FACTS)
 
 
-def judged(pairs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(record_id, writer, field_name, length, what, at_limit, log_odds) of every value; truncated where the log odds are positive."""
-    found = facts(pairs, fields).persist()
-    ends = found.filter("record_id IS NOT NULL").drop("n")
-    # templates: how often whole segments end with one, and how often they go on after it
+def _beginnings(masked: str) -> Iterator[int]:
+    """A hash of each beginning of a template."""
+    import xxhash
+
+    h = 0
+    for piece in masked.split(" "):
+        h = xxhash.xxh3_64_intdigest(piece, seed=h)
+        yield h - (1 << 63)
+
+
+_TAGGED = re.compile(r"^[*#/ ]*[@:]")
+
+
+def evidence(found: DataFrame) -> DataFrame:
+    """(template, word, open_end): what the corpus says of each open end."""
+
+    def begun(masked, n, words) -> Iterator[tuple]:
+        every = list(_beginnings(masked))
+        for h in every[:-1]:
+            yield h, 0, n, None
+        yield every[-1], n, n, words
+
+    def ended(masked, word) -> Iterator[tuple]:
+        every = list(_beginnings(masked))
+        yield masked, word, every[-1], every[max(0, len(every) - 2)], len(every) >= SENTENCE and not _TAGGED.search(masked), masked[masked.rfind(" ") + 1 :][0:1] in ("@", ":") and len(masked[masked.rfind(" ") + 1 :]) > 1
+
     last = found.filter("what = 'whole'").groupBy("template", "word").agg(F.sum("n").alias("n"))
     whole = last.groupBy("template").agg(F.sum("n").alias("n"), F.count("*").alias("words"))
-    pieces = F.split("template", " ")
-    parts = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda k: F.struct(F.array_join(F.slice(pieces, 1, k), " ").alias("template"), (k == F.size(pieces)).alias("end")))
-    prefixes = whole.select("n", "words", F.explode(parts).alias("p"))
-    ended = F.when(F.col("p.end"), F.col("n")).otherwise(0)
-    known = prefixes.groupBy("p.template").agg(F.sum(ended).alias("ends"), F.sum("n").alias("all"), F.max(F.when(F.col("p.end"), F.col("words"))).alias("words"))
+    # how often whole segments end with a template, and how often they go on after it
+    known = map_columns(whole, ["template", "n", "words"], begun, "hash long, ends long, n long, words long").groupBy("hash").agg(F.sum("ends").alias("ends"), F.sum("n").alias("all"), F.max("words").alias("words"))
     inner = found.filter("what = 'inner'").groupBy("word").agg(F.sum("n").alias("uses"))
-    shorter = F.array_join(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(1))), " ")
-    open_ends = ends.filter("what = 'open'").select("template", "word").distinct().withColumn("shorter", shorter).withColumn("pieces", F.size(pieces))
-    before = known.select(F.col("template").alias("shorter"), F.col("ends").alias("before_ends"), F.col("all").alias("before_all"))
-    evidence = open_ends.join(known, "template", "left").join(inner, "word", "left").join(last.withColumnRenamed("n", "seen"), ["template", "word"], "left").join(before, "shorter", "left")
-    share = F.col("ends") / F.col("all")
-    prose = (F.col("pieces") >= SENTENCE) & ~F.col("template").rlike("^[*#/ ]*[@:]")
+    open_ends = map_columns(found.filter("what = 'open'").select("template", "word").distinct(), ["template", "word"], ended, "template string, word string, hash long, shorter long, prose boolean, tag boolean")
+    before = known.select(F.col("hash").alias("shorter"), F.col("ends").alias("before_ends"), F.col("all").alias("before_all"))
+    seen = last.withColumnRenamed("n", "seen")
+    joined = open_ends.join(known, "hash", "left").join(inner, "word", "left").join(seen, ["template", "word"], "left").join(before, "shorter", "left")
     verdict = (
         F.when(F.coalesce("uses", F.lit(0)) == 0, "unknown_word")
         .when(F.col("seen").isNull() & (F.col("ends") >= USES * F.col("words")), "unknown_word")
-        .when(share >= 0.5, "ends")
+        .when(F.col("ends") / F.col("all") >= 0.5, "ends")
         .when(F.col("all") >= 3, "goes_on")
         .when((F.col("before_all") >= 3) & (F.col("before_ends") < 0.2 * F.col("before_all")), "goes_on")
-        .when(prose, "unknown_prose")
+        .when(F.col("tag"), "bare_tag")
+        .when(F.col("prose"), "unknown_prose")
         .otherwise("unknown")
     )
-    evidence = evidence.select("template", "word", verdict.alias("open_end"))
+    return joined.select("template", "word", verdict.alias("open_end"))
+
+
+def judged(pairs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(record_id, writer, field_name, length, what, at_limit, log_odds, without) of every value; truncated where the log odds are positive.
+
+    without: the log odds that the value would have if lengths said nothing, of it and of the ends that they tell the worth of.
+    """
+    found = held(facts(pairs, fields))
+    ends = found.filter("record_id IS NOT NULL").drop("n")
     hist = ends.groupBy("writer", "field_name", "length").agg(F.count("*").alias("n"))
     at = hist.groupBy("writer", "field_name").applyInArrow(_fit, "writer string, field_name string, length int, posterior double")
-    joined = ends.join(evidence, ["template", "word"], "left").withColumn("what", F.coalesce("open_end", "what")).drop("open_end")
+    opened = ends.filter("what = 'open'").join(evidence(found), ["template", "word"]).withColumn("what", F.col("open_end")).select(*ends.columns)
+    joined = opened.unionByName(ends.filter("what <> 'open'")).drop("template", "word").join(at, ["writer", "field_name", "length"], "left")
+    joined = held(joined)
     rate = joined.groupBy("writer", "field_name").agg(((F.count_if(F.col("what").isin("cut", "goes_on", "unknown_word")) + 1) / (F.count("*") + 20)).alias("rate"))
-    prior = F.coalesce("posterior", "rate")
-    ratio = F.create_map(*[x for k, v in RATIOS.items() for x in (F.lit(k), F.lit(v))])[F.col("what")]
-    odds = prior / (1 - prior) * ratio * F.when(F.col("beginning"), F.lit(BEGINNING)).otherwise(1.0)
-    return joined.join(at, ["writer", "field_name", "length"], "left").join(rate, ["writer", "field_name"], "left").select(
-        "record_id", "writer", "field_name", "length", "what", F.col("posterior").isNotNull().alias("at_limit"), F.round(F.log(odds), 3).alias("log_odds")
+    # one row: what open ends at limits are, and elsewhere
+    is_open = ~F.col("what").isin("cut", "finished")
+    limited, free = F.when(is_open, F.coalesce("posterior", F.lit(0.0))), F.when(is_open & F.col("posterior").isNull(), 1.0).otherwise(0.0)
+    shares = [((F.sum(F.when(F.col("what") == k, x).otherwise(0.0)) + 0.5) / (F.sum(x) + 1)).alias(f"{k}_{n}") for k in COUNTED for n, x in (("limited", limited), ("free", free))]
+    counted = joined.agg(*shares).select(*[(F.coalesce(F.col(f"{k}_limited") / F.col(f"{k}_free"), F.lit(1.0))).alias(k) for k in COUNTED])
+    fixed = F.create_map(*[x for k, v in RATIOS.items() for x in (F.lit(k), F.lit(v))])[F.col("what")]
+    ratio = F.coalesce(fixed, *[F.when(F.col("what") == k, F.col(k)) for k in COUNTED])
+    odds = lambda prior, ratio: F.round(F.log(prior / (1 - prior) * ratio * F.when(F.col("beginning"), F.lit(BEGINNING)).otherwise(1.0)), 3)
+    return joined.join(rate, ["writer", "field_name"], "left").crossJoin(F.broadcast(counted)).select(
+        "record_id", "writer", "field_name", "length", "what", F.col("posterior").isNotNull().alias("at_limit"), odds(F.coalesce("posterior", "rate"), ratio).alias("log_odds"), odds(F.col("rate"), F.coalesce(fixed, F.lit(1.0))).alias("without")
     )
 
 

@@ -153,6 +153,19 @@ def test_truncated(spark):
     assert truncation.truncated(spark.createDataFrame([], PAIRS)).count() == 0 and truncation.rates(spark.createDataFrame([], PAIRS)).count() == 0
 
 
+def test_lengths_decide(spark):
+    """Open ends that nothing else explains count as cut where lengths pile up, and ends of long segments are known by their template."""
+    random.seed(6)
+    words = ["ledger", "depot", "voucher", "cargo", "tenant", "valve"]
+    text = lambda n: " ".join(f"Loads the {random.choice(words)} and {random.choice(words)} of the {random.choice(words)} before the report." for _ in range(n))
+    data = [pair(i, text(random.randint(1, 9))) for i in range(300)] + [pair(1000 + i, (text(9) + "\n\n@par")[-150:]) for i in range(40)] + [pair(2000, text(2) + "\n\n@par")]
+    long = "Returns " + ", ".join(f"the {w} and its {v}" for w in words for v in words) + ", as far as it goes"
+    data += [pair(3000 + i, text(1) + "\n" + long + ".\n" + text(1)) for i in range(5)] + [pair(4000, text(1) + "\n" + long[: long.index("its valve") + 3])]
+    found = {r.record_id: r for r in truncation.judged(spark.createDataFrame(data, PAIRS)).collect() if r.field_name == "raw_llm_response"}
+    assert all(found[1000 + i].log_odds > 0 and found[1000 + i].at_limit and found[1000 + i].without < found[1000 + i].log_odds for i in range(40))
+    assert found[4000].what == "goes_on" and not any(found[i].log_odds > 0 for i in range(300))
+
+
 # -- problem 4
 PARTS = "id string, repo string, language string, source_code string"
 
