@@ -5,9 +5,11 @@ sources; each source gives share x B tokens. The copies of its documents lie one
 key, and the source takes the line's beginning; where on the line a copy starts comes from sums over hash ranges and sums inside them,
 so no source is ever summed or sorted in one task.
 
-The line is cut into blocks of one size. Pfair scheduling gives block j of a source with weight w the release time floor(j / w) and the
-deadline ceil((j + 1) / w) in slots; among the released blocks the earliest deadline runs next, so after every slot each source is less
-than one block away from its share. The schedule knows counts of blocks only and has a stated length (SLOTS), whatever the corpus' size.
+The line is cut into quanta of one size, no smaller than the largest document. Pfair scheduling gives quantum j of a source with weight w
+the release time floor(j / w) and the deadline ceil((j + 1) / w) in slots; among the released ones the earliest deadline runs next, so
+after every slot each source is less than one quantum away from its share. Documents stay whole and follow the quantum where they start,
+at most one of them beyond its end, so in tokens each source is always less than a block of two quanta away from its share. The schedule
+knows counts of quanta only and has a stated length (SLOTS at most), whatever the corpus' size.
 
 Defined results: documents of null or unlisted sources, and without tokens, stay out; a source listed more than once counts with its
 first row in order; a share that is null or not positive contributes nothing, a cap that is null counts as 1; a listed source without
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 
 from oresieve.llm.tokenizing import TOKENIZERS, VOCABULARY, encoded
 
-#: Slots of the schedule: the block size follows from it.
+#: Most slots of the schedule: the size of a quantum follows from it.
 SLOTS = 8192
-#: Documents of a hash range that are summed in one task, and the most ranges, whose sums are the only thing that is broadcast.
+#: Documents of a hash range that are summed in one task, and the most ranges of all sources, whose sums are the only thing that is broadcast.
 RANGE_DOCS, MOST_RANGES = 100_000, 65_536
 
 
@@ -79,20 +81,20 @@ def mixed(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     tokens = sized(docs, key, text, source, folder, vocabulary).join(F.broadcast(_targets(targets)).filter("target_share > 0"), "source").persist()
     # one row a listed source: bounded by the table of targets
-    totals = {r["source"]: r for r in tokens.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.first("target_share").alias("share"), F.first("max_repeats").alias("cap"), F.count("*").alias("docs")).collect()}
+    totals = {r["source"]: r for r in tokens.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.first("target_share").alias("share"), F.first("max_repeats").alias("cap"), F.count("*").alias("docs"), F.max("n_tokens").alias("largest")).collect()}
     schema = "doc_id long, source string, copy int, n_tokens int, slot long, place long"
     if not totals:
         return spark.createDataFrame([], schema)
     whole = sum(r["share"] for r in totals.values())
     budget = min(r["tokens"] * r["cap"] * whole / r["share"] for r in totals.values())
     quota = {s: r["share"] / whole * budget for s, r in totals.items()}
-    block = max(1, math.ceil(budget / slots))
+    block = max(math.ceil(budget / slots), *[r["largest"] for r in totals.values()], 1)
     plan = schedule({s: r["share"] for s, r in totals.items()}, {s: math.ceil(quota[s] / block) for s in totals})
 
-    ranges = min(MOST_RANGES, 16 + max(r["docs"] for r in totals.values()) // RANGE_DOCS)
+    ranges = min(max(1, MOST_RANGES // len(totals)), 16 + max(r["docs"] for r in totals.values()) // RANGE_DOCS)
     ordered = tokens.withColumn("h", F.xxhash64("doc_id")).withColumn("range", F.floor((F.col("h").cast("double") + 2.0**63) / 2.0**64 * ranges).cast("int"))
     sums = ordered.groupBy("source", "range").agg(F.sum("n_tokens").alias("tokens"))
-    # at most `ranges` rows a listed source
+    # at most MOST_RANGES rows, or one a listed source
     before = sums.withColumn("before", F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("tokens")
     inside = Window.partitionBy("source", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     starts = ordered.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(before), ["source", "range"])

@@ -417,6 +417,23 @@ def test_mix(spark):
     assert mixing.mixed(d.limit(0), targets).count() == 0
 
 
+def test_running_shares_stay_within_a_block(spark, sf):
+    docs, targets = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "source_targets"))
+    for slots in (64, 8192):
+        uses = [r for r in mixing.mixed(docs, targets, slots=slots).select("slot", "place", "doc_id", "source", "n_tokens").collect()]
+        uses.sort()
+        total = sum(r.n_tokens for r in uses)
+        share = {r.source: r.target_share for r in targets.collect()}
+        whole = sum(share[s] for s in {r.source for r in uses})
+        block = 2 * max(math.ceil(total / slots) + 1, *(r.n_tokens for r in uses))
+        have, run = dict.fromkeys(share, 0), 0
+        for at, r in enumerate(uses):
+            have[r.source] += r.n_tokens
+            run += r.n_tokens
+            if at + 1 == len(uses) or uses[at + 1].slot != r.slot:
+                assert max(abs(have[s] - share[s] / whole * run) for s in {u.source for u in uses}) < block
+
+
 # -- problem 9
 def test_stuffed(spark):
     prose = "The reader loads the next part of the ledger and keeps it until the caller asks for another one. " * 3
