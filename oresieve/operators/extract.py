@@ -12,6 +12,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+import textwrap
 import warnings
 from collections.abc import Iterator
 
@@ -415,7 +416,7 @@ def bracket_components(path: str, source: str, language: str) -> Iterator[dict]:
                 at = m.end()
                 continue
             begin = m.start() + len(m.group(0)) - len(m.group(0).lstrip(" \n\t\r;{}*/"))
-            r = function("constructor" if ctor else "method", kind_name, begin, open_paren, m.group(1) or "", m.group(2) if language == "java" else None, "async" in (m.group(1) or "").split())
+            r = function("constructor" if ctor else "method", kind_name, begin, open_paren, source[m.start(1) : m.end(1)], m.group(2) if language == "java" else None, "async" in (m.group(1) or "").split())
             if r is None:
                 at = m.end()
                 continue
@@ -558,6 +559,51 @@ def api_endpoints(files: DataFrame, path: str = "path", value: str = "value") ->
     return _mapped(files, lambda p, v: (dict(zip(ENDPOINT.names, e)) for e in endpoints(p, v)), ENDPOINT, path, value)
 
 
+OWN = pa.schema(
+    [("id", pa.string()), ("name", pa.string()), ("type", pa.string()), ("parameters", pa.list_(pa.struct([("name", pa.string()), ("type_hint", pa.string()), ("default_value", pa.string())]))), ("return_type", pa.string())]
+    + [(x, pa.list_(pa.string())) for x in ("decorators", "methods", "parents")] + [("is_async", pa.bool_()), ("is_static", pa.bool_())]
+)
+
+
+def own_component(name: str, kind: str, language: str, source: str) -> dict | None:
+    """What a component's own text says of it: the definition of its name, read out of its file.
+
+    Methods are read inside a class of any name; names of decorators and methods are given without arguments and owners.
+    """
+    member = kind in ("method", "constructor")
+    if language == "python":
+        found = python_components("own.py", textwrap.dedent(source))
+    else:
+        shell = name if language == "java" and kind == "constructor" else "Owner"
+        found = bracket_components("own", f"class {shell} {{\n{source}\n}}" if member else source, language)
+    x = next((x for x in found if x["name"] == name and (x["type"] == "class") == (kind == "class") and x["type"] in ("function", "method", "constructor", "class")), None)
+    if x is None:
+        return None
+    parameters = [{k: p[k] for k in ("name", "type_hint", "default_value")} for p in x["parameters"] or []]
+    if member and language == "python" and parameters and parameters[0]["name"] in ("self", "cls"):
+        parameters = parameters[1:]
+    return {
+        "name": name, "type": x["type"], "parameters": parameters, "return_type": x["return_type"], "decorators": [re.match(r"@?([\w.]+)", d).group(1) for d in x["decorators"] or []],
+        "methods": [m.rpartition(".")[2] for m in x["methods"] or []], "parents": x["parent_classes"] or [], "is_async": bool(x["is_async"]), "is_static": bool(x["is_static"]),
+    }
+
+
+def own_components(parts: DataFrame) -> DataFrame:
+    """own_component of each function, method, constructor and class row (id, name, type, language, source_code); null name where it is not found."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, name, kind, language, source in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                rows.append({"id": key, **(own_component(name or "", kind, language, source or "") or {})})
+            yield from pa.Table.from_pylist(rows, schema=OWN).to_batches()
+
+    some = parts.filter(F.col("type").isin("function", "method", "constructor", "class") & F.col("language").isin("python", "javascript", "typescript", "java"))
+    parameter = "parameters array<struct<name:string,type_hint:string,default_value:string>>"
+    lists = ", ".join(f"{x} array<string>" for x in ("decorators", "methods", "parents"))
+    return some.select("id", "name", "type", "language", "source_code").mapInArrow(run, f"id string, name string, type string, {parameter}, return_type string, {lists}, is_async boolean, is_static boolean")
+
+
 # -- an independent reader of Python by regular expressions, to hold the first against
 _GOLD = re.compile(r"^([ \t]*)(?:(class)\s+(\w+)|(?:async\s+)?(def)\s+(\w+))", re.M)
 
@@ -578,8 +624,37 @@ def gold_python(path: str, source: str) -> Iterator[dict]:
         yield {"file_path": path, "name": name, "type": kind, "line": bare.count("\n", 0, m.start()) + 1 + m.group(0).count("\n")}
 
 
+_GOLD_HEADS = [
+    ("class", re.compile(r"^(\s*)(?:export\s+|default\s+|public\s+|abstract\s+|final\s+|private\s+|protected\s+|static\s+)*class\s+(\w+)")),
+    ("function", re.compile(r"^(\s*)(?:export\s+|default\s+)*(?:async\s+)?function\s*\*?\s*([\w$]+)")),
+    ("function", re.compile(r"^(\s*)(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)")),
+    ("method", re.compile(r"^(\s+)(?:(?:public|private|protected|static|final|abstract|async|override|synchronized)\s+)*(?:[\w$.<>\[\], ?]+\s+)?([\w$#]+)\s*\((?:[^;]*)\)\s*(?::[^{;]+)?(?:throws\s+[\w., ]+)?\{\s*$")),
+]
+
+
+def gold_brackets(path: str, source: str) -> Iterator[dict]:
+    """(name, type, line) of JavaScript, TypeScript and Java definitions by their head lines and indents alone, strings and comments blanked."""
+    open_: list[tuple[int, str, str]] = []
+    for i, line in enumerate(blanked(source).split("\n"), 1):
+        if not line.strip() or not line[len(line) - len(line.lstrip())].isalpha() and not line.lstrip().startswith(("_", "$", "#")):
+            continue
+        indent = len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip())
+        while open_ and open_[-1][0] >= indent:
+            open_.pop()
+        kind, name = next(((k, m.group(2)) for k, p in _GOLD_HEADS if (m := p.match(line))), (None, None))
+        if kind is None or name in _NOT_NAMES or (kind == "method" and (not open_ or open_[-1][1] != "class")):
+            continue
+        if kind == "method" and name in ("constructor", open_[-1][2]):
+            kind = "constructor"
+        open_.append((indent, "class" if kind == "class" else "def", name))
+        yield {"file_path": path, "name": name, "type": kind, "line": i}
+
+
 GOLD = pa.schema([("file_path", pa.string()), ("name", pa.string()), ("type", pa.string()), ("line", pa.int32())])
 
 
 def gold_components(files: DataFrame, path: str = "path", value: str = "value") -> DataFrame:
-    return _mapped(files.filter(F.lower(F.col(path)).endswith(".py")), gold_python, GOLD, path, value)
+    def rule(p, v):
+        return gold_python(p, v) if p.lower().endswith(".py") else gold_brackets(p, v)
+
+    return _mapped(files.filter(suffix_language(path).isNotNull()), rule, GOLD, path, value)

@@ -270,7 +270,7 @@ def api_endpoints(spark, sf):
 
 def extraction_quality(spark, sf):
     f = _parsed(spark, sf)
-    found = extract.components(f).filter("language = 'python' AND type IN ('function', 'method', 'constructor', 'class')").select("file_path", "name", F.col("start_line").alias("line"))
+    found = extract.components(f).filter("type IN ('function', 'method', 'constructor', 'class')").select("file_path", "name", F.col("start_line").alias("line"))
     return validation.file_metrics(extract.gold_components(f), found).select("file_path", "gold", "found", "matched", "precision", "recall", "f1")
 
 
