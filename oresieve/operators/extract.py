@@ -552,6 +552,16 @@ def component_statements(parts: DataFrame, key: str = "id", source: str = "sourc
     return _mapped(parts, lambda k, v: ({"func_id": k, **s} for s in snippet_statements(v)), STATEMENT, key, source)
 
 
+def python_statements(parts: DataFrame, key: str = "id", source: str = "source_code") -> DataFrame:
+    """Statements of Python components by their own texts; func_id is the component's key, with what is nested in it after a bar."""
+
+    def rule(k, v):
+        for s in statements("own.py", textwrap.dedent(v)):
+            yield {**s, "func_id": f"{k}|{s['func_id']}"}
+
+    return _mapped(parts, rule, STATEMENT, key, source)
+
+
 ENDPOINT = pa.schema([("file_path", pa.string()), ("framework", pa.string()), ("method", pa.string()), ("http_path", pa.string()), ("handler", pa.string()), ("path_parameters", pa.list_(pa.string())), ("status", pa.int32())])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oresieve.functions import docs
-from oresieve.operators import extract, lookup
+from oresieve.operators import extract, flow, lookup
 from oresieve.plans.tables import COMPONENTS, components
 
 _CODE = "type IN ('function', 'method', 'constructor', 'class') AND language IN ('python', 'javascript', 'typescript', 'java')"
@@ -110,7 +110,50 @@ def first_calls(spark, sf):
 _P = r"'(?:([A-Za-z0-9_$]+(?:[.][A-Za-z0-9_$]+)*)[.])?([A-Za-z_$][A-Za-z0-9_$]*)\s*[(]'"
 SQL_FIRST = f"SELECT id, nullif(regexp_extract(signature, {_P}, 1), '') AS receiver, nullif(regexp_extract(signature, {_P}, 2), '') AS called FROM {COMPONENTS} WHERE signature IS NOT NULL"
 
+_PYTHON = "language = 'python' AND type IN ('function', 'method', 'constructor')"
+_KINDS = {"FOR": r"^(?:async )?for\b", "WHILE": r"^while\b", "TRY": r"^try:", "RETURN": r"^return\b", "RAISE": r"^raise\b", "BREAK": r"^break$", "CONTINUE": r"^continue$", "IF": r"^(?:el)?if\b", "WITH": r"^(?:async )?with\b"}
+
+
+def _python(spark, sf):
+    return extract.python_statements(components(spark, sf).filter(_PYTHON))
+
+
+def _whole(rows):
+    return rows.withColumn("id", F.regexp_replace("func_id", r"\|.*$", ""))
+
+
+def python_kinds(spark, sf):
+    return _whole(_python(spark, sf)).filter(F.col("type").isin(*_KINDS)).groupBy("id", "type").agg(F.count("*").alias("n"))
+
+
+# lines of code: those of documentation strings are blanked first
+_LINES = f"""(SELECT id, trim(unnest(string_split(regexp_replace(source_code, '(?s)\"\"\".*?\"\"\"', '', 'g'), chr(10))), ' ' || chr(9) || chr(13)) AS line FROM {COMPONENTS} WHERE {_PYTHON})"""
+SQL_KINDS = f"SELECT id, type, count(*) AS n FROM (SELECT id, CASE {' '.join(f"WHEN regexp_matches(line, '{p}') THEN '{k}'" for k, p in _KINDS.items())} END AS type FROM {_LINES}) WHERE type IS NOT NULL GROUP BY 1, 2"
+
+
+def flow_counts(spark, sf):
+    """Edges of the control flow of each function: branches taken and not taken, handlers, and ways to the exit by return and raise."""
+    s = _python(spark, sf).persist()
+    ends = s.filter("type IN ('RETURN', 'RAISE')").select("func_id", F.col("ord").alias("source"), F.lit(True).alias("ends"))
+    e = _whole(flow.cfg_edges(s).join(ends, ["func_id", "source"], "left"))
+    kind = lambda k: F.count_if(F.col("type") == k)
+    counts = e.groupBy("id").agg(kind("true").alias("taken"), kind("exception").alias("handlers"), F.count_if(F.col("ends") & (F.col("target") == flow.EXIT)).alias("leaving"))
+    return counts.filter("taken + handlers + leaving > 0")
+
+
+SQL_COUNTS = f"""SELECT id, count(*) FILTER (regexp_matches(line, '^(?:(?:el)?if|for|while|async for)\\b')) AS taken, count(*) FILTER (regexp_matches(line, '^except\\b')) AS handlers, count(*) FILTER (regexp_matches(line, '^(?:return|raise)\\b')) AS leaving
+FROM {_LINES} GROUP BY 1 HAVING taken + handlers + leaving > 0"""
+
+
+def guard_counts(spark, sf):
+    """Statements that depend on a block of their function, by the kind of the block."""
+    s = _python(spark, sf).persist()
+    blocks = s.select("func_id", F.col("ord").alias("source"), F.col("type").alias("block"))
+    return flow.control_dependence(s).join(blocks, ["func_id", "source"]).groupBy("block", "type").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "python_kinds": (python_kinds, SQL_KINDS), "flow_counts": (flow_counts, SQL_COUNTS), "guard_counts": (guard_counts, None),
     "own_names": (own_names, SQL_NAMES), "own_parameters": (own_parameters, SQL_PARAMETERS), "own_modifiers": (own_modifiers, SQL_MODIFIERS), "own_results": (own_results, SQL_RESULTS), "own_decorators": (own_decorators, SQL_DECORATORS),
     "own_methods": (own_methods, SQL_METHODS), "own_parents": (own_parents, SQL_PARENTS), "second_reader": (second_reader, SQL_SECOND), "snippet_kinds": (snippet_kinds, SQL_SNIPPETS), "sample_rows": (sample_rows, SQL_SAMPLES), "first_calls": (first_calls, SQL_FIRST),
 }
