@@ -26,20 +26,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
+def bound(value: Column, rule) -> Column:
+    """rule(value) with value computed once a row; an expression inside a lambda is computed again for each element."""
+    return F.element_at(F.transform(F.array(value), rule), 1)
+
+
 def unigram_precision(reference: Column, hypothesis: Column) -> Column:
     """Share of the hypothesis' tokens that the reference holds, each counted as often as it stands there."""
-    known = F.array_distinct(reference)
-    hits = F.size(F.filter(hypothesis, lambda t: F.array_contains(known, t)))
-    return F.when(F.size(hypothesis) == 0, 0.0).otherwise(hits / F.size(hypothesis))
+    hits = bound(hypothesis, lambda h: bound(F.array_intersect(reference, h), lambda common: F.size(F.filter(h, lambda t: F.array_contains(common, t))) / F.size(h)))
+    return F.when(F.size(hypothesis) == 0, 0.0).otherwise(hits)
+
+
+def _numbered(tokens: Column) -> Column:
+    """Tokens with the number of their occurrence, in order of the token, so that equal tokens differ."""
+    return bound(F.array_sort(tokens), lambda ordered: F.transform(ordered, lambda t, i: F.concat_ws(" ", t, (i - F.array_position(ordered, t)).cast("string"))))
 
 
 def clipped_bleu1(reference: Column, hypothesis: Column) -> Column:
-    """Unigram precision with each token counted at most as often as in the reference, times the brevity penalty."""
-    def count(tokens, t):
-        return F.size(tokens) - F.size(F.array_remove(tokens, t))
+    """Unigram precision with each token counted at most as often as in the reference, times the brevity penalty.
 
-    hits = F.aggregate(F.array_distinct(hypothesis), F.lit(0), lambda acc, t: acc + F.least(count(reference, t), count(hypothesis, t)))
+    Tokens hold no blanks.
+    """
     n, m = F.size(hypothesis), F.size(reference)
+    hits = F.size(F.array_intersect(_numbered(reference), _numbered(hypothesis)))
     return F.when((n == 0) | (m == 0), 0.0).otherwise(hits / n * F.least(F.lit(1.0), F.exp(1 - m / n)))
 
 

@@ -270,6 +270,9 @@ _BLANK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"{3}[\s\S]*?\"{3}|\"(?:[^\"\\\n]|
 _TYPE_HEAD = re.compile(r"\b(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)\s*(?:<[^{]*?>)?\s*(?:\([^)]*\))?\s*((?:extends|implements|permits)[^{]*)?\{")
 _SCRIPT_FUNCTION = re.compile(r"\b(async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\s*\(")
 _ARROW = re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(async\s*)?(?:function\s*\*?\s*[\w$]*\s*)?(?:<[^>]*>\s*)?(?:\(|[A-Za-z_$][\w$]*\s*=>)")
+_OBJECT = re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*\{|\bmodule\.(exports)\s*=\s*\{")
+_MEMBER = re.compile(r"(?<=[{,\n])\s*((?:async\s+|get\s+|set\s+|\*\s*)*)([A-Za-z_$][\w$]*)\s*(?::\s*(?:async\s*)?(?:function\s*\*?\s*[\w$]*\s*)?)?\(")
+_CALLBACK = re.compile(r"(?<=[(,])\s*(async\s+)?(?:function\s*\*?\s*([\w$]*)\s*\(([^()]*)\)\s*\{|(?:\(([^()]*)\)|([A-Za-z_$][\w$]*))\s*=>)")
 _TYPE = r"[\w$.]+(?:<[^;(){}=]*>)?(?:\[\])*"
 _METHOD = re.compile(
     r"(?:(?:(?<=^)|(?<=[;{}\n]))[ \t]*)((?:@\w+(?:\([^)]*\))?\s+|(?:public|private|protected|static|final|abstract|synchronized|native|default|async|readonly|override|get|set)\s+)*)"
@@ -394,6 +397,28 @@ def bracket_components(path: str, source: str, language: str) -> Iterator[dict]:
                 r = function("function", m.group(1), m.start(), m.end() - 1, "", None, bool(m.group(2)))
                 if r:
                     rows.append(r)
+        # methods of object literals that a name holds, and functions given as arguments
+        for m in _OBJECT.finditer(bare):
+            end = pairs.get(m.end() - 1)
+            if end is None:
+                continue
+            at = m.end()
+            while (x := _MEMBER.search(bare, at)) is not None and x.start() < end:
+                nested = next((pairs[i] for i in range(at, x.start(1)) if bare[i] in "{(" and i in pairs and pairs[i] > x.start(1)), None)
+                if nested is not None:  # the match stands inside another member
+                    at = nested
+                    continue
+                open_paren = x.end() - 1
+                close = pairs.get(open_paren)
+                shown = re.compile(r"\s*(?::[^={]+)?(?:=>|\{)").match(bare, close + 1) if close is not None else None
+                if shown is None or x.group(2) in _NOT_NAMES:
+                    at = x.end()
+                    continue
+                r = function("method", x.group(2), x.start(1) if x.group(1) else x.start(2), open_paren, "", None, "async" in x.group(0))
+                if r:
+                    r["id"] = f"{owner(m.start())}.{m.group(1) or m.group(2)}.{x.group(2)}"
+                    rows.append(r)
+                at = max(x.end(), x.start(2) + len(r["source_code"]) - 1) if r else x.end()
     for start, open_, end, name, parents in classes:
         inner = [c for c in classes if open_ < c[0] and c[2] < end]
         methods, fields = [], []
@@ -438,6 +463,15 @@ def bracket_components(path: str, source: str, language: str) -> Iterator[dict]:
     yield _row(id=module, name=module.rpartition(".")[2], type="module", language=language, file_path=path, start_line=1, end_line=source.count("\n") + 1, imports=imports, lines_of_code=source.count("\n") + 1)
 
 
+def inline_functions(source: str) -> list[dict]:
+    """(line, name, parameters, is_async) of functions that are arguments of a call."""
+    bare = blanked(source)
+    return [
+        {"line": bare.count("\n", 0, m.start() + len(m.group(0)) - len(m.group(0).lstrip())) + 1, "name": m.group(2) or None, "parameters": [p["name"] for p in _script_parameters(m.group(3) or m.group(4) or m.group(5) or "")], "is_async": bool(m.group(1))}
+        for m in _CALLBACK.finditer(bare)
+    ]
+
+
 # How lines of the languages of brackets are classed, in order.
 LINE_KINDS = [
     ("IF", r"^(?:\}\s*)?(?:else\s+)?if\s*\("), ("ELSE", r"^(?:\}\s*)?else\b"), ("FOR", r"^for\s*\("), ("WHILE", r"^while\s*\("), ("WHILE", r"^do\b"), ("TRY", r"^try\b"), ("EXCEPT", r"^(?:\}\s*)?catch\b"),

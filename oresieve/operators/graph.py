@@ -96,10 +96,15 @@ def is_dag(edges: DataFrame, nodes: DataFrame) -> bool:
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels (id, label) after the least label went along the edges until nothing changed."""
+    """labels (id, label) after the least label went along the edges until nothing changed; labels are ids that reach their node.
+
+    What reaches the label's node reaches the node, so each round also jumps to the label's own label and ways halve.
+    """
     while True:
         came = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("came"))
-        new = checkpointed(labels.join(came, "id", "left").select("id", F.least("label", "came").alias("label"), F.coalesce(F.col("came") < F.col("label"), F.lit(False)).alias("moved")))
+        near = labels.join(came, "id", "left").select("id", "label", F.least("label", "came").alias("near"))
+        jump = labels.select(F.col("id").alias("near"), F.col("label").alias("far"))
+        new = checkpointed(near.join(jump, "near", "left").select("id", F.least("near", "far").alias("label"), (F.least("near", "far") < F.col("label")).alias("moved")))
         labels = new.select("id", "label")
         if new.filter("moved").isEmpty():
             return labels
@@ -188,12 +193,12 @@ def type_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def edge_ids(edges: DataFrame, *order: str) -> DataFrame:
-    """edges numbered e0, e1, ... in an order, by counts of partitions and not in one window."""
-    ordered = edges.orderBy(*order)
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], f"e{x[1]}"))
-    from pyspark.sql import types as T
-
-    return edges.sparkSession.createDataFrame(numbered, T.StructType([*ordered.schema.fields, T.StructField("edge_id", T.StringType())]))
+    """edges numbered e0, e1, ... in an order: by ranges, whose counts (a row a partition) shift the numbers inside them."""
+    at = F.monotonically_increasing_id()
+    placed = checkpointed(edges.orderBy(*order).withColumn("__part", F.shiftright(at, 33)).withColumn("__n", at.bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("n"))
+    before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(before), "__part").select(*edges.columns, F.concat(F.lit("e"), F.col("__n") + F.col("__before")).alias("edge_id"))
 
 
 def batches(df: DataFrame, keys: list[str], order: list[str], size: int = 5) -> DataFrame:

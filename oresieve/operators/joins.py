@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oresieve.functions.text import bound
+
 
 def call_edges(components: DataFrame, calls: str = "calls") -> DataFrame:
     """(src, name, dst): each call joined to a component of that name but for case, the least id where several have it."""
@@ -44,8 +46,7 @@ def suffix_join(names: DataFrame, modules: DataFrame, name: str = "name", module
     Every dotted suffix becomes a key, so the theta join is two equality joins.
     """
     def suffixes(c):
-        parts = F.split(F.col(c), r"\.")
-        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+        return bound(F.split(F.col(c), r"\."), lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), ".")))
 
     left, right = names.select(name).distinct(), modules.select(module).distinct()
     a = left.select(name, F.explode(suffixes(name)).alias("__k")).join(right.select(module, F.col(module).alias("__k")), "__k")

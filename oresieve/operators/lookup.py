@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oresieve.functions.text import bound
+
 # Kinds that a listing merges or leaves out.
 LISTED_AS = {"arrow_function": "function", "constructor": "method"}
 UNLISTED = ("field", "static_field", "global_variable", "variable", "api_endpoint", "import")
@@ -42,7 +44,7 @@ def searched(rows: DataFrame, column: str, query: str) -> DataFrame:
 def aliases(components: DataFrame) -> DataFrame:
     """(low, kind, id): every lower-case name by which a component may be called: plain, Class.method, and dotted suffixes of modules."""
     parts = F.split("id", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    suffixes = bound(parts, lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda k: F.array_join(F.slice(p, k, F.size(p)), ".")))
     names = F.when(F.col("type") == "module", suffixes).when(F.col("type").isin("method", "constructor"), F.array(F.col("name"), F.concat_ws(".", F.try_element_at(parts, F.lit(-2)), "name"))).otherwise(F.array("name", "id"))
     return components.select(F.explode(F.array_distinct(names)).alias("low"), F.col("type").alias("kind"), "id").withColumn("low", F.lower("low"))
 
@@ -99,7 +101,7 @@ def ordered_nodes(nodes: DataFrame, how: str, seed: int = 0) -> DataFrame:
 def tree_order(paths: DataFrame, path: str = "path") -> DataFrame:
     """(path, parent, name, is_file): every folder and file of a tree, folders before files in each parent, then by name."""
     parts = F.split(F.col(path), "/")
-    each = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("path"), (k == F.size(parts)).alias("is_file")))
+    each = bound(parts, lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda k: F.struct(F.array_join(F.slice(p, 1, k), "/").alias("path"), (k == F.size(p)).alias("is_file"))))
     rows = paths.select(F.explode(each).alias("e")).select("e.path", "e.is_file").distinct()
     named = rows.select("path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("parent"), F.element_at(F.split("path", "/"), -1).alias("name"), "is_file")
     return named.orderBy("parent", "is_file", F.lower("name"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oresieve.functions import code, text
-from oresieve.functions.text import col
+from oresieve.functions.text import bound, col
 
 # The labels by which a docstring shows a section, types that return nothing, and the words that return and raise.
 LABELS = {
@@ -57,7 +57,7 @@ def has_description(doc, language) -> Column:
     chunks = F.transform(F.split(F.trim(raw), r"\n\s*\n"), lambda x: F.trim(x))
     second = F.lower(F.coalesce(F.try_element_at(F.filter(chunks, lambda x: x != ""), F.lit(2)), F.lit("")))
     headings = [label for labels in LABELS["python"].values() for label in labels]
-    python = (second != "") & ~F.exists(F.array(*[F.lit(h) for h in headings]), lambda h: F.startswith(second, h))
+    python = bound(second, lambda x: (x != "") & ~F.exists(F.array(*[F.lit(h) for h in headings]), lambda h: F.startswith(x, h)))
     lines = F.filter(F.transform(F.split(raw, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[/*]+|\*/$", ""))), lambda x: x != "")
     line = F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))
     return F.when(col(language) == "python", python).otherwise((line != "") & ~line.startswith("@"))

@@ -340,6 +340,13 @@ def script_facts(spark, sf):
     return c.groupBy("language", "type").agg(F.sum(F.size(facts["promise_handlers"])).alias("handlers"), F.sum(F.size(facts["middleware"])).alias("middleware"), F.count_if(facts["iife"]).alias("iife"), F.sum(facts["inline_functions"]).alias("inline"))
 
 
+SQL_FACTS = rf"""SELECT language, type, CAST(sum(len(regexp_extract_all(coalesce(source_code, ''), '\.(then|catch|finally)\s*\(', 1))) AS BIGINT) AS handlers,
+ CAST(sum(len(list_distinct(regexp_extract_all(coalesce(source_code, ''), '\b((?:app|router|express)\.[A-Za-z0-9_]+)\s*\(', 1)))) AS BIGINT) AS middleware,
+ count(*) FILTER (regexp_matches(coalesce(source_code, ''), '(?s)\(\s*(?:async\s+)?function\b.*\}}\s*\)?\s*\(|\(\s*(?:async\s*)?\([^)]*\)\s*=>.*\)\s*\(')) AS iife,
+ CAST(sum(len(regexp_extract_all(coalesce(source_code, ''), '[(,]\s*(?:async\s+)?(function\b|\(?[A-Za-z0-9_$, ]*\)?\s*=>)', 1))) AS BIGINT) AS inline
+FROM {COMPONENTS} WHERE language IN ('javascript', 'typescript') GROUP BY 1, 2"""
+
+
 def reaching_definitions(spark, sf):
     s = _statements(spark, sf)
     return flow.reaching_definitions(s, flow.cfg_edges(s))
@@ -353,5 +360,5 @@ QUERIES = {
     "extracted_components": (extracted_components, None), "extracted_statements": (extracted_statements, None), "control_flow_graph": (control_flow_graph, None), "dependence_graph": (dependence_graph, None), "hybrid_graph": (hybrid_graph, None), "knowledge_graph": (knowledge_graph, None),
     "api_endpoints": (api_endpoints, None), "extraction_quality": (extraction_quality, None), "band_alignment": (band_alignment, None),
     "listed_components": (listed_components, SQL_LISTED), "file_tree": (file_tree, SQL_TREE), "searched_files": (searched_files, SQL_SEARCH), "name_aliases": (name_aliases, SQL_ALIASES), "severities": (severities, SQL_SEVERITIES),
-    "resolved_dependencies": (resolved_dependencies, None), "documentation_similarity": (documentation_similarity, None), "tree_completeness": (tree_completeness, None), "script_facts": (script_facts, None), "reaching_definitions": (reaching_definitions, None),
+    "resolved_dependencies": (resolved_dependencies, None), "documentation_similarity": (documentation_similarity, None), "tree_completeness": (tree_completeness, None), "script_facts": (script_facts, SQL_FACTS), "reaching_definitions": (reaching_definitions, None),
 }

@@ -149,3 +149,35 @@ def test_insertion_from_below():
     out = inserted("def a():\n    '''old'''\n    return 1\n\ndef b(x,\n      y):\n    pass", [(1, "New."), (5, "Two\nlines.")], "python")
     assert out == 'def a():\n    """New."""\n    return 1\n\ndef b(x,\n      y):\n    """Two\n    lines.\n    """\n    pass'
     assert inserted("  @Override\n  public int f() {", [(2, "Doc.")], "java") == "  /**\n   * Doc.\n   */\n  @Override\n  public int f() {"
+
+
+def test_object_methods_and_callbacks():
+    source = """const api = {
+  base: '/x',
+  load(id, { deep }) {
+    return items.map((x) => x.id).filter(function keep(y) { return y; });
+  },
+  save: async (row) => { await put(row, async z => z); },
+  drop: function (id) { if (id) { go(id); } },
+  nested: { inner(a) { return a; } },
+};
+module.exports = { run() { return api; } };
+"""
+    found = {r["id"]: (r["type"], [p["name"] for p in r["parameters"]], r["is_async"], r["start_line"]) for r in extract.bracket_components("src/a.js", source, "javascript") if r["type"] == "method"}
+    assert found["src.a.api.save"] == ("method", ["row"], True, 6) and found["src.a.api.drop"] == ("method", ["id"], False, 7)
+    assert found["src.a.api.load"][0] == "method" and found["src.a.api.load"][3] == 3 and "src.a.exports.run" in found
+    assert not any(k.endswith((".if", ".map", ".filter", ".put", ".go")) for k in found)
+    assert [(x["line"], x["name"], x["parameters"], x["is_async"]) for x in extract.inline_functions(source)] == [(4, None, ["x"], False), (4, "keep", ["y"], False), (6, None, ["z"], True)]
+
+
+def test_second_reader_of_brackets():
+    source = "class A extends B {\n  constructor(a) {\n    super(a);\n  }\n\n  one(b) {\n    if (b) {\n      return 1;\n    }\n  }\n}\n\nconst two = async (c) => {\n  return c;\n};\n\nfunction three() {\n}\n"
+    assert [(g["name"], g["type"], g["line"]) for g in extract.gold_brackets("a.js", source)] == [("A", "class", 1), ("constructor", "constructor", 2), ("one", "method", 6), ("two", "function", 13), ("three", "function", 17)]
+    java = "public class D<T> {\n    private int n;\n    public D(int n) {\n    }\n    protected static List<A> all(Map<A, B> m) throws E {\n        for (A a : b) {\n        }\n    }\n}\n"
+    assert [(g["name"], g["type"]) for g in extract.gold_brackets("D.java", java)] == [("D", "class"), ("D", "constructor"), ("all", "method")]
+
+
+def test_own_component():
+    own = extract.own_component("f", "method", "java", '@Named("x")\npublic static int f(final int a, List<A> b) { return a; }')
+    assert (own["decorators"], own["is_static"], [p["name"] for p in own["parameters"]], own["return_type"]) == (["Named"], True, ["a", "b"], "int")
+    assert extract.own_component("f", "function", "python", "") is None and extract.own_component("f", "method", "python", "    def g(self): pass") is None

@@ -241,3 +241,10 @@ def test_cached_replies_by_stream(spark, tmp_path):
     found = progress.cached_replies(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 60_000)
     found.writeStream.format("memory").queryName("replies").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert sorted(tuple(r) for r in spark.table("replies").collect()) == [("a", False, 0), ("a", False, 0), ("a", True, 1), ("b", False, 0)]
+
+
+def test_edge_ids(spark):
+    e = spark.createDataFrame([(f"n{i % 7}", f"m{i:03d}") for i in range(100)], "src string, dst string").repartition(5)
+    found = sorted(((r.src, r.dst, int(r.edge_id[1:])) for r in graph.edge_ids(e, "src", "dst").collect()))
+    assert [x[2] for x in found] == list(range(100))
+    assert graph.edge_ids(e.limit(0), "src").count() == 0
