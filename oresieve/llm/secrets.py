@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oresieve.llm.common import map_columns, spread
+from oresieve.llm.common import held, map_columns, spread
 
 #: Repositories from which on a value without format or randomness is a placeholder.
 SHARED_BY = 6
@@ -473,7 +473,7 @@ def rescan(components: DataFrame, sure: DataFrame, shared_by: int = SHARED_BY, k
 
 def found_secrets(components: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
     """Distinct (id, line_no) of credentials."""
-    found = candidates(components).persist()
+    found = held(candidates(components))
     sure = confirmed(found, shared_by)
     return sure.select("id", "line_no").unionByName(rescan(components, sure, shared_by).select("id", "line_no")).distinct()
 
@@ -507,12 +507,12 @@ def redact(text: str, secrets: list[str]) -> str:
 
 def redacted(components: DataFrame, shared_by: int = SHARED_BY, key: str = "id", text: str = "source_code") -> DataFrame:
     """(id, secrets, redacted): each text that holds credentials, with their number and without them."""
-    sure = confirmed(candidates(components).persist(), shared_by)
+    sure = confirmed(held(candidates(components)), shared_by)
     values = sure.select("id", "value").unionByName(rescan(components, sure, shared_by, key, text=text).select("id", F.col("secret").alias("value")))
-    held = _small(values.groupBy("id").agg(F.collect_set("value").alias("values")))
+    wanted = _small(values.groupBy("id").agg(F.collect_set("value").alias("values")))
 
     def rule(k, source, values) -> Iterator[tuple]:
         yield k, len(values), redact(source or "", sorted(values, key=len, reverse=True))
 
-    texts = components.select(F.col(key).alias("id"), F.col(text).alias("text")).join(held, "id").distinct()
+    texts = components.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").distinct()
     return map_columns(texts, ["id", "text", "values"], rule, "id string, secrets int, redacted string")
