@@ -2,10 +2,10 @@
 
 Openings of responses (their first words, names masked, in three lengths) are clustered by MinHash: bands of signatures give candidates, a
 Jaccard similarity of at least SIMILAR over shingles of five words verifies them, and labels spread over verified links until none
-changes. A cluster is a refusal template if it recurs over unrelated prompts while its members speak of themselves or to the reader
-instead of the code: no word of declining is asked for. All its members that document nothing are refusals. Phrases of declining find those
-that no other response repeats. Copies are found by the runs of words that a response shares with its prompt, other languages by function
-words and script against the language that the prompt asks for, truncated responses by problem 3.
+changes. Only responses count that speak of themselves or to the reader and document nothing: a cluster of them that recurs over
+unrelated prompts and keeps off the prompts' code is a refusal template, whose members are refusals; no word of declining is asked for.
+Phrases of declining find those that no other response repeats. Copies are found by the runs of words that a response shares with its
+prompt, other languages by function words and script against the language that the prompt asks for, truncated responses by problem 3.
 
 In a bucket only openings meet that also share one of their rarest shingles, as any two of that similarity do, so no link is lost and a
 full bucket does not yield all its pairs.
@@ -264,6 +264,8 @@ def clusters(openings: DataFrame) -> DataFrame:
     nodes = map_columns(openings, ["opening"], rule, "opening string, id long, parts array<long>, bands array<long>").persist()
     # an opening of one shingle is like no other
     both = checkpointed(links(nodes.filter("size(parts) > 1")))
+    if both.isEmpty():
+        return nodes.select("opening", F.col("id").alias("cluster"))
     labels = both.select("id").distinct().withColumn("cluster", F.col("id"))
     while True:
         spread_ = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("cluster").alias("near"))
@@ -278,31 +280,30 @@ def clusters(openings: DataFrame) -> DataFrame:
 
 
 def templates(spoken: DataFrame) -> DataFrame:
-    """record_id of the responses that follow a refusal template; spoken: record_id, name, speaks, about, openings."""
-    each = spoken.select("record_id", "name", "speaks", "about", F.explode("openings").alias("opening"))
-    texts = each.groupBy("opening").agg(F.count("*").alias("n"), F.count_if("speaks").alias("speaks"), F.count_if("about").alias("about"))
-    named = clusters(texts.filter("opening <> ''").select("opening")).persist()
-    votes = texts.join(named, "opening").groupBy("cluster").agg(*[F.sum(c).alias(c) for c in ("n", "speaks", "about")])
+    """record_id of the responses that follow a refusal template; spoken: record_id, name, about, openings of responses that speak of their writer."""
+    each = spoken.select("record_id", "name", "about", F.explode("openings").alias("opening")).filter("opening <> ''")
+    texts = each.groupBy("opening").agg(F.count("*").alias("n"), F.count_if("about").alias("about"))
+    named = clusters(texts.select("opening")).persist()
+    votes = texts.join(named, "opening").groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("about").alias("about"))
     functions = each.select("opening", "name").distinct().join(named, "opening").select("cluster", "name").distinct().groupBy("cluster").agg(F.count("name").alias("functions"))
-    recurring = functions.filter(F.col("functions") >= PROMPTS).join(votes, "cluster").filter("2 * speaks >= n AND 2 * about < n").select("cluster")
-    return each.join(named.join(recurring, "cluster"), "opening").filter("speaks").select("record_id").distinct()
+    recurring = functions.filter(F.col("functions") >= PROMPTS).join(votes, "cluster").filter("2 * about < n").select("cluster")
+    return each.join(named.join(recurring, "cluster"), "opening").select("record_id").distinct()
 
 
 def signs(pairs: DataFrame) -> DataFrame:
-    """Of each pair what it shows by itself; openings only where nothing is documented."""
+    """Of each pair what it shows by itself; openings only where the response speaks of its writer and documents nothing."""
 
     def rule(key, prompt, response, name) -> Iterator[tuple]:
         if says_nothing(response):
-            yield key, "empty", False, True, False, False, [], name
+            yield key, "empty", False, True, False, [], name
             return
         first, silent = declines(response)
         found = "copy" if copies(prompt, response) else "wrong_language" if other_language(prompt, response) else None
-        spoken = silent and found != "copy"
-        speaks = spoken and addresses(prompt, response)
-        yield key, found, first and found != "copy", silent, speaks, speaks and about(prompt, response, name), openings(response, name) if spoken else [], name
+        speaks = silent and found != "copy" and addresses(prompt, response)
+        yield key, found, first and found != "copy", silent, speaks and about(prompt, response, name), openings(response, name) if speaks else [], name
 
     one = pairs.select("record_id", "prompt", "raw_llm_response", "function_name").distinct()
-    return map_columns(one, ["record_id", "prompt", "raw_llm_response", "function_name"], rule, "record_id long, found string, declines boolean, silent boolean, speaks boolean, about boolean, openings array<string>, name string")
+    return map_columns(one, ["record_id", "prompt", "raw_llm_response", "function_name"], rule, "record_id long, found string, declines boolean, silent boolean, about boolean, openings array<string>, name string")
 
 
 def judged(pairs: DataFrame) -> DataFrame:
