@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oresieve.llm import truncation
-from oresieve.llm.common import checkpointed, held, map_columns
+from oresieve.llm.common import checkpointed, map_columns
 from oresieve.llm.docpairs import words as telling_words
 from oresieve.llm.spam import _KNOWN, FUNCTION
 
@@ -261,7 +261,7 @@ def clusters(openings: DataFrame) -> DataFrame:
         parts = [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in shingles(text)]
         yield text, xxhash.xxh3_64_intdigest(text) - (1 << 63), parts, bands(parts) if len(parts) > 1 else []
 
-    nodes = map_columns(openings, ["opening"], rule, "opening string, id long, parts array<long>, bands array<long>").persist()
+    nodes = checkpointed(map_columns(openings, ["opening"], rule, "opening string, id long, parts array<long>, bands array<long>"))
     # an opening of one shingle is like no other
     both = checkpointed(links(nodes.filter("size(parts) > 1")))
     if both.isEmpty():
@@ -283,7 +283,7 @@ def templates(spoken: DataFrame) -> DataFrame:
     """record_id of the responses that follow a refusal template; spoken: record_id, name, about, openings of responses that speak of their writer."""
     each = spoken.select("record_id", "name", "about", F.explode("openings").alias("opening")).filter("opening <> ''")
     texts = each.groupBy("opening").agg(F.count("*").alias("n"), F.count_if("about").alias("about"))
-    named = clusters(texts.select("opening")).persist()
+    named = checkpointed(clusters(texts.select("opening")))
     votes = texts.join(named, "opening").groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("about").alias("about"))
     functions = each.select("opening", "name").distinct().join(named, "opening").select("cluster", "name").distinct().groupBy("cluster").agg(F.count("name").alias("functions"))
     recurring = functions.filter(F.col("functions") >= PROMPTS).join(votes, "cluster").filter("2 * about < n").select("cluster")
@@ -308,7 +308,7 @@ def signs(pairs: DataFrame) -> DataFrame:
 
 def judged(pairs: DataFrame) -> DataFrame:
     """(record_id, defect_type, by_template) of every pair; null for usable ones."""
-    found = held(signs(pairs))
+    found = checkpointed(signs(pairs))
     refusals = templates(found.filter("size(openings) > 0")).withColumn("by_template", F.lit(True))
     cut = truncation.judged(pairs, ("raw_llm_response",)).filter("log_odds > 0").select("record_id", F.lit(True).alias("cut")).distinct()
     whole = found.join(refusals, "record_id", "left").join(cut, "record_id", "left").withColumn("by_template", F.coalesce("by_template", F.lit(False)))

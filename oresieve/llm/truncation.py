@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oresieve.llm.common import held, map_columns
+from oresieve.llm.common import checkpointed, held, map_columns
 from oresieve.llm.spam import FUNCTION
 
 FIELDS = ("raw_llm_response", "generated_docstring")
@@ -320,7 +320,8 @@ def judged(pairs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     at = hist.groupBy("writer", "field_name").applyInArrow(_fit, "writer string, field_name string, length int, posterior double")
     opened = ends.filter("what = 'open'").join(evidence(found), ["template", "word"]).withColumn("what", F.col("open_end")).select(*ends.columns)
     joined = opened.unionByName(ends.filter("what <> 'open'")).drop("template", "word").join(at, ["writer", "field_name", "length"], "left")
-    joined = held(joined)
+    joined = checkpointed(joined)
+    found.unpersist()
     rate = joined.groupBy("writer", "field_name").agg(((F.count_if(F.col("what").isin("cut", "goes_on", "unknown_word")) + 1) / (F.count("*") + 20)).alias("rate"))
     # one row: what open ends at limits are, and elsewhere
     is_open = ~F.col("what").isin("cut", "finished")
