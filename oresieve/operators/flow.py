@@ -104,14 +104,21 @@ def control_flow(rows: list[tuple[int, str, int, str]]) -> list[tuple[int, int,
 
 
 def cfg_edges(statements: DataFrame) -> DataFrame:
-    """(func_id, source, target, type) of every function; functions are independent groups."""
+    """(func_id, source, target, type) of every function; a function is one row of an Arrow batch."""
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t["ord"].to_pylist(), t["type"].to_pylist(), t["depth"].to_pylist(), t["code"].to_pylist()))
-        name = t["func_id"][0].as_py()
-        return pa.Table.from_pylist([{"func_id": name, "source": a, "target": b, "type": k} for a, b, k in control_flow(rows)], schema=CFG_EDGE)
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            rows, at, out = list(zip(*(x.to_pylist() for x in lists.flatten().flatten()))), 0, []
+            for name, n in zip(batch.column(0).to_pylist(), lists.value_lengths().to_pylist()):
+                out += [(name, *e) for e in control_flow(sorted(rows[at : at + n]))]
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * len(CFG_EDGE), CFG_EDGE)], schema=CFG_EDGE)
 
-    return statements.select("func_id", "ord", "type", "depth", "code").groupBy("func_id").applyInArrow(run, "func_id string, source int, target int, type string")
+    # of the code the flow asks only whether it begins with elif
+    one = F.struct("ord", "type", "depth", F.coalesce(F.substring("code", 1, 4), F.lit("")).alias("code"))
+    functions = statements.groupBy("func_id").agg(F.collect_list(one).alias("rows"))
+    return functions.mapInArrow(run, "func_id string, source int, target int, type string")
 
 
 def cfg_nodes(statements: DataFrame) -> DataFrame:
@@ -141,10 +148,11 @@ def _variables(names):
 
 def data_dependence(statements: DataFrame) -> DataFrame:
     """(func_id, source, target, variable): from the most recent definition of each used variable; dotted names by their base."""
-    uses = statements.select("func_id", "ord", F.lit(0).alias("is_def"), F.explode(_variables(F.array_except("uses", "calls"))).alias("variable"))
-    defs = statements.select("func_id", "ord", F.lit(1).alias("is_def"), F.explode(_variables("defs")).alias("variable"))
+    marked = lambda names, is_def: F.coalesce(F.transform(names, lambda x: F.struct(x.alias("variable"), F.lit(is_def).alias("is_def"))), F.array().cast("array<struct<variable:string,is_def:int>>"))
+    both = F.concat(marked(_variables(F.array_except("uses", "calls")), 0), marked(_variables("defs"), 1))
+    known = statements.select("func_id", "ord", F.inline(both))
     w = Window.partitionBy("func_id", "variable").orderBy("ord", "is_def").rowsBetween(Window.unboundedPreceding, -1)
-    known = uses.unionByName(defs).withColumn("source", F.last(F.when(F.col("is_def") == 1, F.col("ord")), ignorenulls=True).over(w))
+    known = known.withColumn("source", F.last(F.when(F.col("is_def") == 1, F.col("ord")), ignorenulls=True).over(w))
     return known.filter("is_def = 0 AND source IS NOT NULL").select("func_id", "source", F.col("ord").alias("target"), "variable").distinct()
 
 
@@ -180,30 +188,40 @@ def hpg_edges(cfg: DataFrame, pdg: DataFrame) -> DataFrame:
 def ckg(components: DataFrame, statements: DataFrame | None = None, flow: DataFrame | None = None, data: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the knowledge graph: containment, calls, imports, inheritance, and flow between statements if given.
 
-    Names resolve to the component of that name with the least id, modules by the last part of an import. Parallel edges stay.
+    Names resolve to the component of that name with the least id, modules by the last part of an import. Parallel edges stay. Of components
+    of one id the first in its file is the node. flow and data are edges of these statements, so both their ends are nodes.
+
+    Everything that a component refers to, its container included, finds its end in one join: a filter of the united edges by known ids would
+    be planned again for every kind of edge. Components and statements that lie by id and func_id already are not moved for that.
     """
-    kinds = F.when(F.col("type").isin("method", "constructor", "function"), "function").otherwise(F.col("type"))
-    nodes = components.filter(F.col("type").isin("module", "class", "function", "method", "constructor")).select("id", "name", kinds.alias("type"), "file_path", F.col("start_line").alias("line"))
-    nodes = nodes.dropDuplicates(["id"])
-    parent = F.array_join(F.slice(F.split("id", r"\."), 1, F.greatest(F.size(F.split("id", r"\.")) - 1, F.lit(1))), ".")
-    child = nodes.select(parent.alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("type")).filter("src <> dst")
-    index = nodes.groupBy(F.lower("name").alias("low"), "type").agg(F.min("id").alias("dst"))
+    callable_ = F.col("type").isin("method", "constructor", "function")
+    is_node = callable_ | F.col("type").isin("module", "class")
+    w = Window.partitionBy("id").orderBy(F.desc_nulls_last(is_node), "start_line", "type", "name", "file_path")
+    part = F.split("id", r"\.")
+    parent = F.array_join(F.slice(part, 1, F.greatest(F.size(part) - 1, F.lit(1))), ".")
+    said = "array<struct<kind:string,key:string,label:string>>"
 
     def named(column, kind, label):
-        said = components.filter("id IS NOT NULL").select(F.col("id").alias("src"), F.explode(column).alias("n"))
-        return said.join(index.filter(F.col("type") == kind).select("low", "dst"), F.lower(F.element_at(F.split("n", r"[./]"), -1)) == F.col("low")).select("src", "dst", F.lit(label).alias("type"))
-
-    modules = components.filter("type = 'module'")
-    imports = modules.select(F.col("id").alias("src"), F.explode("imports").alias("n")).join(index.filter("type = 'module'").select("low", "dst"), F.lower(F.element_at(F.split("n", r"[./]"), -1)) == F.col("low")).select("src", "dst", F.lit("imports").alias("type"))
-    edges = child.unionByName(named(F.when(F.col("type").isin("function", "method", "constructor"), F.col("calls")), "function", "calls")).unionByName(imports).unionByName(named("parent_classes", "class", "extends"))
+        return F.coalesce(F.transform(column, lambda n: F.struct(F.lit(kind).alias("kind"), F.lower(F.element_at(F.split(n, r"[./]"), -1)).alias("key"), F.lit(label).alias("label"))), F.array().cast(said))
+
+    names = F.concat(named(F.when(callable_, F.col("calls")), "function", "calls"), named(F.when(F.col("type") == "module", F.col("imports")), "module", "imports"), named("parent_classes", "class", "extends"))
+    placed = components.select("id", "name", "type", "file_path", "start_line", names.alias("names"), F.row_number().over(w).alias("place"), F.first(is_node).over(w).alias("known"))
+    first = placed.filter(is_node & (F.col("place") == 1))
+    nodes = first.select("id", "name", F.when(callable_, "function").otherwise(F.col("type")).alias("type"), "file_path", F.col("start_line").alias("line"))
+
+    # a name by its kind, and an id by itself
+    entry = lambda kind, key: F.struct(kind.alias("kind"), key.alias("key"))
+    index = nodes.filter("id IS NOT NULL").select("id", F.inline(F.array(entry(F.lit("id"), F.col("id")), entry(F.col("type"), F.lower("name"))))).groupBy("kind", "key").agg(F.min("id").alias("end"))
+    contained = F.when(is_node & (F.col("place") == 1) & (parent != F.col("id")), F.array(F.struct(F.lit("id").alias("kind"), parent.alias("key"), F.lit("contains").alias("label"))))
+    refers = placed.filter("known AND id IS NOT NULL").select("id", F.inline(F.concat("names", F.coalesce(contained, F.array().cast(said))))).join(index, ["kind", "key"])
+    up = F.col("label") == "contains"
+    edges = refers.select(F.when(up, F.col("end")).otherwise(F.col("id")).alias("src"), F.when(up, F.col("id")).otherwise(F.col("end")).alias("dst"), F.col("label").alias("type"))
     if statements is not None:
-        key = F.concat_ws(":", "func_id", F.col("ord").cast("string"))
-        nodes = nodes.unionByName(statements.select(key.alias("id"), F.expr("substring(code, 1, 100)").alias("name"), F.lit("statement").alias("type"), F.lit(None).cast("string").alias("file_path"), "line"))
-        edges = edges.unionByName(statements.select(F.col("func_id").alias("src"), key.alias("dst"), F.lit("contains").alias("type")))
+        at = lambda c: F.concat_ws(":", "func_id", F.col(c).cast("string"))
+        holders = first.select(F.col("id").alias("func_id"))
+        edges = edges.unionByName(statements.select("func_id", "ord").join(holders, "func_id").select(F.col("func_id").alias("src"), at("ord").alias("dst"), F.lit("contains").alias("type")))
+        nodes = nodes.unionByName(statements.select(at("ord").alias("id"), F.expr("substring(code, 1, 100)").alias("name"), F.lit("statement").alias("type"), F.lit(None).cast("string").alias("file_path"), "line"))
         for part, label in ((flow, "control_flow"), (data, "data_flow")):
             if part is not None:
-                at = lambda c: F.concat_ws(":", "func_id", F.col(c).cast("string"))
                 edges = edges.unionByName(part.filter("source >= 0 AND target >= 0").select(at("source").alias("src"), at("target").alias("dst"), F.lit(label).alias("type")))
-    ids = nodes.select("id").distinct()
-    edges = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "type")
     return nodes, edges

@@ -258,8 +258,7 @@ def hybrid_graph(spark, sf):
 
 
 def knowledge_graph(spark, sf):
-    f = _parsed(spark, sf)
-    c, s = extract.components(f).persist(), _statements(spark, sf)
+    c, s = extract.graph_parts(_parsed(spark, sf))
     v, e = flow.ckg(c, s, flow.cfg_edges(s), flow.data_dependence(s))
     return graph.type_counts(v, e)
 

@@ -119,6 +119,54 @@ def test_knowledge_graph(spark):
     assert all(r.src in ids and r.dst in ids for r in edges.collect())
 
 
+def test_knowledge_graph_plan(spark, sf):
+    # the driver holds a plan for every query stage: joins must not multiply with the kinds of edges, nor files be read again for each use
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["knowledge_graph"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("InMemoryRelation") <= 8
+    spark.catalog.clearCache()
+
+
+def test_knowledge_graph_of_doubles(spark):
+    """Ids that occur twice, parents that are no nodes and names that nothing has, against the definition written out."""
+    row = "id string, name string, type string, file_path string, start_line int, calls array<string>, imports array<string>, parent_classes array<string>"
+    c = spark.createDataFrame(
+        [
+            ("p.m", "m", "module", "p/m.py", 1, ["f"], ["p.n", "gone", None], None), ("p.n", "N", "module", "p/n.py", 1, None, [], []), ("p.m.f", "f", "function", "p/m.py", 9, ["F", "g", "A"], ["p.n"], []),
+            ("p.m.f", "f", "function", "p/m.py", 2, ["f"], [], []), ("p.m.A", "A", "class", "p/m.ts", 4, [], [], ["x.a", "I"]), ("p.m.A", "A", "interface", "p/m.ts", 3, [], [], ["A"]),
+            ("p.m.I", "I", "interface", "p/m.ts", 8, [], [], ["A"]), ("p.m.I.h", "h", "method", "p/m.ts", 8, ["m"], [], []), ("p.m.e", "e", "field", "p/m.ts", 8, [], [], []), (None, "f", "function", "q.py", 1, ["f"], [], []), ("q.F", "F", "constructor", "q.py", 1, [], [], []),
+        ], row)
+    s = spark.createDataFrame([("p.m.f", 0, "IF", 0, "if a:", 3, ["a"], ["b"], []), ("p.m.f", 1, "RETURN", 1, "return a", 4, [], ["a"], []), ("gone.f", 0, "PASS", 0, "pass", 1, [], None, [])], "func_id string, ord int, type string, depth int, code string, line int, defs array<string>, uses array<string>, calls array<string>")
+    nodes, edges = flow.ckg(c, s, flow.cfg_edges(s), flow.data_dependence(s))
+    assert sorted((r.id or "", r.type, r.line) for r in nodes.collect()) == [
+        ("", "function", 1), ("gone.f:0", "statement", 1), ("p.m", "module", 1), ("p.m.A", "class", 4), ("p.m.I.h", "function", 8), ("p.m.f", "function", 2), ("p.m.f:0", "statement", 3), ("p.m.f:1", "statement", 4), ("p.n", "module", 1), ("q.F", "function", 1),
+    ]
+    assert sorted(map(tuple, edges.collect())) == sorted(
+        [
+            ("p.m", "p.m.f", "contains"), ("p.m", "p.m.A", "contains"), ("p.m", "p.n", "imports"), ("p.m.f", "p.m.f", "calls"), ("p.m.f", "p.m.f", "calls"), ("p.m.A", "p.m.A", "extends"), ("p.m.A", "p.m.A", "extends"),
+            ("p.m.f", "p.m.f:0", "contains"), ("p.m.f", "p.m.f:1", "contains"), ("p.m.f:0", "p.m.f:1", "control_flow"), ("p.m.f:0", "p.m.f:1", "data_flow"),
+        ]
+    )
+
+
+def test_graph_parts_are_those_of_the_whole_readers(spark):
+    script = "import x from './pkg/mod';\nclass A extends B { m(a) { q(a); } }\nconst api = { load(id) { return m(id); } };\n"
+    again = "def f():\n    a = 1.5.real\n    b = a.x.y\n\ndef f():\n    a = 2\n    b = 3\n    if a: g(b)\n"
+    files = spark.createDataFrame([("pkg/mod.py", PYTHON), ("pkg/two.py", again), ("a.js", script), ("bad.py", "def ("), ("empty.ts", None), ("notes.txt", "x")], "path string, value string")
+    parts, found = extract.graph_parts(files)
+    kinds = ["module", "class", "function", "method", "constructor"]
+    calls = F.when(F.col("type").isin(kinds[2:]), F.concat_ws(",", "calls"))
+    said = lambda df: sorted(map(str, df.filter(F.col("type").isin(kinds)).select("id", "name", "type", "file_path", "start_line", calls, F.when(F.col("type") == "module", F.concat_ws(",", "imports")), F.concat_ws(",", "parent_classes")).collect()))
+    assert said(parts) == said(extract.components(files)) and len(said(parts)) > 10
+    whole = {}
+    for r in extract.function_statements(files).orderBy("line").collect():
+        whole.setdefault((r.func_id, r.ord), r)
+    assert sorted((r.func_id, r.ord, r.type, r.line, r.depth, r.code, r.defs, r.uses, r.calls) for r in found.collect()) == sorted((r.func_id, r.ord, r.type, r.line, r.depth, r.code, r.defs, r.uses, r.calls) for r in whole.values())
+    assert {r.line for r in found.filter("func_id = 'pkg.two.f'").collect()} == {2, 3, 8}
+    spark.catalog.clearCache()
+
+
 def test_gold_and_extracted_agree(spark):
     files = spark.createDataFrame([("pkg/mod.py", PYTHON)], "path string, value string")
     found = extract.components(files).filter(F.col("type").isin("function", "method", "constructor", "class")).select("file_path", "name", F.col("start_line").alias("line"))
