@@ -189,7 +189,8 @@ def ckg(components: DataFrame, statements: DataFrame | None = None, flow: DataFr
     """(nodes, edges) of the knowledge graph: containment, calls, imports, inheritance, and flow between statements if given.
 
     Names resolve to the component of that name with the least id, modules by the last part of an import. Parallel edges stay. Of components
-    of one id the first in its file is the node. flow and data are edges of these statements, so both their ends are nodes.
+    of one id the first in its file is the node. flow and data are edges of these statements, so both their ends are nodes;
+    graph.known_edges drops others.
 
     Everything that a component refers to, its container included, finds its end in one join: a filter of the united edges by known ids would
     be planned again for every kind of edge. Components and statements that lie by id and func_id already are not moved for that.
